@@ -1,8 +1,8 @@
-"""Exact ranks and quantiles without sorting a whole group in one task.
+"""Exact quantiles and rank cutoffs without sorting a whole group in one task.
 
-A plain window over a class or over the whole table sends the group to a single task. Here every
-row first gets an order-preserving bucket, the rows per bucket are counted map-side, and only rows
-of one bucket are ever sorted together. The results are exact.
+A plain window over a class or over the whole table sends the group to a single task. Here rows are
+first counted per ordered bucket, map-side, and only the bucket that holds the wanted rank is
+sorted. The results are exact.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 ACCURACY = 100_000
 # Interval half-widths as shares of the rows, widest first; the narrowest that fits is used.
 MARGINS = (1e-3, 2.0 / ACCURACY)
-# Largest number of (group, bucket) rows that is broadcast, some 50 MB.
-BROADCAST_ROWS = 500_000
 
 
 def exact_quantiles(
@@ -95,53 +93,78 @@ def exact_quantiles(
     return found.select("column_name", "probability", checked.alias("value"))
 
 
-def digest_rank(
+def digest_cutoffs(
     df: DataFrame,
     group: str,
     digest: str,
     tie: str,
-    hex_digits: int = 3,
+    limits: dict[str, Column],
     groups: list | None = None,
-    upto: Column | None = None,
+    hex_digits: int = 4,
 ) -> DataFrame:
-    """Add ``digest_rank`` (from 1 per group, by digest then ``tie``) and the group sizes.
+    """Per group, the (digest, tie) of the row at each wanted rank in digest order.
 
-    A group's rows are spread over ``16 ** hex_digits`` buckets by the head of their hex digest,
-    which keeps the digest's order. The rank is the number of rows in earlier buckets plus the
-    rank inside the bucket, so a group holding most of the table is still ranked by many tasks.
-    Use 4 or 5 digits for groups beyond a few billion rows.
+    One row per group: ``group`` and a struct column per limit, null where the limit is 0. A limit
+    is an expression over ``group_rows`` and ``smallest_group`` (the size of the smallest group).
+    Selecting "the first n rows of a group" is then a comparison with the cutoff, without ranking,
+    sorting or shuffling the group.
 
-    ``upto`` keeps only ranks up to an expression over ``group_rows`` and ``smallest_group`` (the
-    size of the smallest group); buckets wholly beyond it are dropped before their rows are
-    ranked. When the ``groups`` are given, the bucket table has a known maximum size and is
-    broadcast, so that those rows are not even shuffled.
+    The head of the hex digest puts a group's rows into ``16 ** hex_digits`` ordered buckets. Rows
+    are counted per bucket (combined map-side); only the one bucket that holds the wanted rank is
+    ranked, a share of ``16 ** -hex_digits`` of its group. Both passes read the group, the key and
+    nothing else.
     """
+    keyed = df.select(
+        group, digest, tie, F.substring(F.col(digest), 1, hex_digits).alias("_bucket")
+    ).where(F.col(group).isNotNull())
     if groups is not None:
-        df = df.where(F.col(group).isin(*groups))
-    bucketed = df.withColumn("_bucket", F.substring(F.col(digest), 1, hex_digits))
-    per_bucket = bucketed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))
+        keyed = keyed.where(F.col(group).isin(*groups))
+    per_bucket = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     # At most 16 ** hex_digits rows per group from here on.
-    whole_group = Window.partitionBy(group)
-    earlier = whole_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    of_group = Window.partitionBy(group)
+    earlier = of_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        group,
-        "_bucket",
-        F.coalesce(F.sum("_in_bucket").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_in_bucket").over(whole_group).alias("group_rows"),
+        group, "_bucket", "_rows",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(of_group).alias("group_rows"),
     )
-    if upto is not None:
-        smallest = per_bucket.groupBy(group).agg(F.sum("_in_bucket").alias("_rows")).agg(
-            F.min("_rows").alias("smallest_group")
-        )
-        offsets = offsets.crossJoin(F.broadcast(smallest)).where(F.col("_before") < upto)
-    if groups is not None and len(groups) * 16**hex_digits <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    inside = F.row_number().over(
-        Window.partitionBy(group, "_bucket").orderBy(F.col(digest), F.col(tie))
+    smallest = per_bucket.groupBy(group).agg(F.sum("_rows").alias("_n")).agg(
+        F.min("_n").alias("smallest_group")
+    )
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("_limit"), limit.cast("bigint").alias("_at"))
+            for name, limit in limits.items()
+        ]
+    )
+    boundary = (
+        offsets.crossJoin(F.broadcast(smallest))  # one row
+        .select(group, "_bucket", "_rows", "_before", F.inline(wanted))
+        .where((F.col("_before") < F.col("_at")) & (F.col("_before") + F.col("_rows") >= F.col("_at")))
+        .select(group, "_bucket", "_limit", (F.col("_at") - F.col("_before")).alias("_need"))
     )
-    ranked = bucketed.join(offsets, [group, "_bucket"]).withColumn(
-        "digest_rank", F.col("_before") + inside
+    # One row per group and limit: of known size where the groups are named.
+    boundary = F.broadcast(boundary) if groups is not None else boundary
+    ordered = Window.partitionBy(group, "_limit").orderBy(digest, tie)
+    at_limit = (
+        keyed.join(boundary, [group, "_bucket"])
+        .withColumn("_r", F.row_number().over(ordered))
+        .where(F.col("_r") == F.col("_need"))
     )
-    if upto is not None:
-        ranked = ranked.where(F.col("digest_rank") <= upto)
-    return ranked.drop("_bucket", "_before")
+    cutoff = F.struct(F.col(digest).alias("digest"), F.col(tie).alias("tie"))
+    return at_limit.groupBy(group).agg(
+        *[F.max(F.when(F.col("_limit") == name, cutoff)).alias(name) for name in limits]
+    )
+
+
+def attach_cutoffs(df: DataFrame, cutoffs: DataFrame, group: str, groups: list | None) -> DataFrame:
+    """Join the cutoffs to the rows; broadcast only where the number of groups is known."""
+    if groups is not None:
+        return df.where(F.col(group).isin(*groups)).join(F.broadcast(cutoffs), group, "left")
+    return df.join(cutoffs, group, "left")
+
+
+def within(cutoff: str, digest: str, tie: str) -> Column:
+    """Whether a row is among the rows up to a cutoff."""
+    key = F.struct(F.col(digest).alias("digest"), F.col(tie).alias("tie"))
+    return F.coalesce(key <= F.col(cutoff), F.lit(False))

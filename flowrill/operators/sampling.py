@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowrill.functions.flow_text import BENIGN, DOS
 from flowrill.functions.hashing import seeded_digest, uniform_between
-from flowrill.operators.ranking import digest_rank
+from flowrill.operators.ranking import attach_cutoffs, digest_cutoffs, within
 from flowrill.schema import MODEL_FEATURES
 
 # Features rounded to whole numbers after augmentation.
 INTEGER_FEATURES = ["flow_duration", "total_fwd_packet", "fin", "syn", "rst", "ack"]
 
 
-def _keyed(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    return df.where(F.col(label).isNotNull()).withColumn("_digest", seeded_digest(seed, key))
+_DIGEST = "_digest"
+
+
+def _with_cutoffs(
+    df: DataFrame, label: str, key: str, seed: int, limits: dict[str, Column],
+    classes: list | None, hex_digits: int,
+) -> DataFrame:
+    keyed = df.where(F.col(label).isNotNull()).withColumn(_DIGEST, seeded_digest(seed, key))
+    cutoffs = digest_cutoffs(keyed, label, _DIGEST, key, limits, classes, hex_digits)
+    return attach_cutoffs(keyed, cutoffs, label, classes)
 
 
 def undersample_to_min(
@@ -23,18 +31,17 @@ def undersample_to_min(
     key: str = "flow_id",
     seed: int = 42,
     classes: list | None = None,
-    hex_digits: int = 3,
+    hex_digits: int = 4,
 ) -> DataFrame:
     """As many rows of every class as the smallest class has; exact and repeatable.
 
-    Rows of a class are taken in the order of a seeded digest of their key. Naming the ``classes``
-    keeps the surplus rows of a large class out of the shuffle.
+    Rows of a class are taken in the order of a seeded digest of their key, up to a cutoff. With
+    the ``classes`` named, the rows themselves are not shuffled at all.
     """
-    ranked = digest_rank(
-        _keyed(df, label, key, seed), label, "_digest", key, hex_digits, classes,
-        upto=F.col("smallest_group"),
+    marked = _with_cutoffs(
+        df, label, key, seed, {"_keep": F.col("smallest_group")}, classes, hex_digits
     )
-    return ranked.select(*df.columns)
+    return marked.where(within("_keep", _DIGEST, key)).select(*df.columns)
 
 
 def split_stratified(
@@ -44,18 +51,43 @@ def split_stratified(
     test_fraction: float = 0.2,
     seed: int = 42,
     classes: list | None = None,
-    hex_digits: int = 3,
+    hex_digits: int = 4,
 ) -> DataFrame:
     """Add ``split``: the first ``floor(rows * test_fraction)`` of each class are ``test``.
 
     Features and label stay in one row, so dropping rows later keeps them aligned.
     """
-    ranked = digest_rank(
-        _keyed(df, label, key, seed), label, "_digest", key, hex_digits, classes
-    )
-    in_test = F.col("digest_rank") <= F.floor(F.col("group_rows") * F.lit(test_fraction))
-    return ranked.withColumn("split", F.when(in_test, "test").otherwise("train")).select(
-        *df.columns, "split"
+    limits = {"_test": F.floor(F.col("group_rows") * F.lit(test_fraction))}
+    marked = _with_cutoffs(df, label, key, seed, limits, classes, hex_digits)
+    return _split(marked, key).select(*df.columns, "split")
+
+
+def balanced_split(
+    df: DataFrame,
+    label: str = "label",
+    key: str = "flow_id",
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    classes: list | None = None,
+    hex_digits: int = 4,
+) -> DataFrame:
+    """Undersampling and stratified split from one set of cutoffs.
+
+    Gives the classes of :func:`undersample_to_min` with the first ``floor(smallest *
+    test_fraction)`` rows of each as ``test``, for the passes of one of the two steps.
+    """
+    limits = {
+        "_keep": F.col("smallest_group"),
+        "_test": F.floor(F.col("smallest_group") * F.lit(test_fraction)),
+    }
+    marked = _with_cutoffs(df, label, key, seed, limits, classes, hex_digits)
+    kept = marked.where(within("_keep", _DIGEST, key))
+    return _split(kept, key).select(*df.columns, "split")
+
+
+def _split(marked: DataFrame, key: str) -> DataFrame:
+    return marked.withColumn(
+        "split", F.when(within("_test", _DIGEST, key), "test").otherwise("train")
     )
 
 

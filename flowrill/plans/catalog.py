@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowrill.functions import flow_text as text
 from flowrill.operators import (
     anomaly,
     bayes,
+    classifiers,
     clean,
     hosts,
     logs,
@@ -26,11 +28,18 @@ from flowrill.operators import (
 )
 from flowrill.plans import scoring, training
 from flowrill.plans.views import DaySnapshot
-from flowrill.schema import MODEL_FEATURES, RATE_COLUMNS
+from flowrill.schema import (
+    CANONICAL_COLUMNS,
+    DUPLICATE_HEADER,
+    MODEL_FEATURES,
+    RATE_COLUMNS,
+    short_name,
+)
 from flowrill.session import shared_dir
 from flowrill.sources import captures
 from flowrill.sources.day_store import flows_for_date
 from flowrill.sources.driver_tables import FLOWS_SQL, flows_from_tables
+from flowrill.sources.models import load_model, save_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1023,6 +1032,17 @@ def _(flows, spark, sf_dir):
     return sampling.split_stratified(usable)
 
 
+@query(
+    "balanced_split",
+    """select flow_id, label, case when r <= (select min(class_rows) from ranked) // 5 then 'test'
+         else 'train' end as split from balanced""",
+    FINITE_FLOWS + "," + BALANCED,
+)
+def _(flows, spark, sf_dir):
+    usable = clean.drop_non_finite(flows).select("flow_id", "label")
+    return sampling.balanced_split(usable, classes=["BENIGN", "DoS"])
+
+
 _INTEGER = sampling.INTEGER_FEATURES
 
 
@@ -1182,6 +1202,121 @@ def _(flows, spark, sf_dir):
     return metrics.confusion_matrix(_predicted(flows), ["BENIGN", "DoS"])
 
 
+# --- trained models ----------------------------------------------------------------------------
+
+
+def _training_set(flows: DataFrame) -> DataFrame:
+    """Balanced and split rows of the two scored classes, materialised once for all passes."""
+    rows = training.training_rows(flows, ["BENIGN", "DoS"])
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _trained(flows: DataFrame, name: str) -> DataFrame:
+    rows = _training_set(flows)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    model = classifiers.fit_model(train, name)
+    predicted = classifiers.predict(model, test, ["label_code"])
+    quality = metrics.classification_metrics(predicted, "label_code")
+    return quality.select(F.lit(name).alias("model"), "*")
+
+
+@query("train_lr")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "Logistic Regression")
+
+
+@query("train_dt")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "Decision Tree")
+
+
+@query("train_rf")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "Random Forest")
+
+
+@query("train_svm_rff")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "SVM (random Fourier features)")
+
+
+@query("train_gbt")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "Gradient Boosting")
+
+
+@query("train_gbt_binned")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "Gradient Boosting (binned)")
+
+
+@query("train_nb")
+def _(flows, spark, sf_dir):
+    return _trained(flows, "Naive Bayes")
+
+
+_COMPARED = ["Logistic Regression", "Decision Tree", "Naive Bayes"]
+
+
+def _compared(flows: DataFrame) -> DataFrame:
+    rows = _training_set(flows)
+    return classifiers.compare_models(
+        rows.where("split = 'train'"), rows.where("split = 'test'"), _COMPARED
+    )
+
+
+@query("compare_models")
+def _(flows, spark, sf_dir):
+    return _compared(flows)
+
+
+@query("best_model")
+def _(flows, spark, sf_dir):
+    return metrics.best_model(_compared(flows))
+
+
+@query("score_flows")
+def _(flows, spark, sf_dir):
+    rows = _training_set(flows)
+    fitted = classifiers.fit_model(rows.where("split = 'train'"), "Logistic Regression")
+    path = shared_dir(spark, "model")
+    save_model(fitted, path)
+    return scoring.score_flows(flows, load_model(path), required=_REQUIRED).select("flow_id", "label")
+
+
+RAW_CAPTURE = CATEGORISED + """,
+complete as (
+  select flow_id, attack_label as label, class_label, cast(total_fwd_packet as bigint) as flow_duration,
+    flow_bytes_s from categorised
+  where class_label <> 'Unknown' and flow_bytes_s < 'Infinity'::double and syn <> 5
+)"""
+
+
+@query("clean_training", "select * from complete", RAW_CAPTURE)
+def _(flows, spark, sf_dir):
+    detailed = _categorised(flows).withColumn("label", F.col("attack_label"))
+    return training.clean_training(_raw_capture(detailed)).select(
+        "flow_id", "label", "class_label", "flow_duration", "flow_bytes_s"
+    )
+
+
+def _raw_capture(flows: DataFrame) -> DataFrame:
+    """The flows as a raw public capture: text, leading blanks in the header, a doubled column.
+
+    Columns the flows do not have are filled with text that counts as a number; an empty packet
+    count marks incomplete rows.
+    """
+    known = {short_name(c): c for c in CANONICAL_COLUMNS}
+    values = {known[c]: F.col(c).cast("string") for c in flows.columns if c in known}
+    values["Flow Duration"] = F.concat(F.col("total_fwd_packet").cast("string"), F.lit(".7"))
+    values["Total Bwd packets"] = F.when(F.col("syn") == 5, "").otherwise(F.col("syn").cast("string"))
+    filler = F.col("syn").cast("string")
+    columns = [values.get(c, filler).alias(f" {c}") for c in CANONICAL_COLUMNS]
+    doubled = CANONICAL_COLUMNS.index("Fwd Header Length") + 20
+    columns.insert(doubled, filler.alias(f" {DUPLICATE_HEADER}"))
+    return flows.select(*columns)
+
+
 @query("all_views")
 def _(flows, spark, sf_dir):
     return DaySnapshot(flows).row_counts()

@@ -15,7 +15,7 @@ from flowrill.operators.clean import (
     rename_canonical,
     select_model_features,
 )
-from flowrill.operators.sampling import split_stratified, undersample_to_min
+from flowrill.operators.sampling import balanced_split
 
 
 def clean_training(raw: DataFrame) -> DataFrame:
@@ -37,17 +37,10 @@ def training_rows(
     classes: list[str],
     label: str = "label",
     seed: int = 42,
-    hex_digits: int = 3,
+    hex_digits: int = 4,
 ) -> DataFrame:
     """Balanced, encoded and split model features: flow_id, ten features, label_code, split."""
     usable = drop_non_finite_rates(flows).where(F.col(label).isin(*classes))
     features = select_model_features(usable, keep=["flow_id", label])
-    balanced = undersample_to_min(
-        features, label, seed=seed, classes=classes, hex_digits=hex_digits
-    )
-    coded = encode_label(balanced, label, "label_code", classes=classes).drop(label)
-    codes = list(range(len(classes)))
-    # Another seed: the balanced rows are already selected by the first one's order.
-    return split_stratified(
-        coded, "label_code", seed=seed + 1, classes=codes, hex_digits=hex_digits
-    )
+    split = balanced_split(features, label, seed=seed, classes=classes, hex_digits=hex_digits)
+    return encode_label(split, label, "label_code", classes=classes).drop(label)
