@@ -6,6 +6,7 @@ engines add in different orders; the operators themselves do not round.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -37,9 +38,10 @@ from flowrill.schema import (
 )
 from flowrill.session import shared_dir
 from flowrill.sources import captures
-from flowrill.sources.day_store import flows_for_date
-from flowrill.sources.driver_tables import FLOWS_SQL, flows_from_tables
+from flowrill.sources.day_store import flows_for_date, write_analysed
+from flowrill.sources.driver_tables import FLOWS_SQL, flow_stream, flows_from_tables
 from flowrill.sources.models import load_model, save_model
+from flowrill.streaming import live, refresh, score_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1320,3 +1322,87 @@ def _raw_capture(flows: DataFrame) -> DataFrame:
 @query("all_views")
 def _(flows, spark, sf_dir):
     return DaySnapshot(flows).row_counts()
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+_NOW = {"availableNow": True}
+_STREAMED = [c for c in CANONICAL_COLUMNS if short_name(c) in (
+    "flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "timestamp_raw",
+    "total_length_fwd", "total_length_bwd", "active_mean", "idle_mean", "label", *MODEL_FEATURES,
+)]
+
+
+def _write_captures(flows: DataFrame, folder: str) -> None:
+    """The flows as capture files with canonical header names."""
+    named = flows.select(*[F.col(short_name(c)).alias(c) for c in _STREAMED])
+    named.write.option("header", "true").csv(folder)
+
+
+def _run_scoring(flows: DataFrame, spark: SparkSession, scorer) -> DataFrame:
+    """Score the capture files of the flows to the end; the analysed table."""
+    base = shared_dir(spark, "scoring")
+    _write_captures(flows, f"{base}/captures")
+    job = score_job.start_scoring(
+        spark, f"{base}/captures", f"{base}/analysed", f"{base}/quarantine", f"{base}/checkpoint",
+        scorer, _STREAMED, _NOW, by_day=False,
+    )
+    job.awaitTermination()
+    return spark.read.parquet(f"{base}/analysed")
+
+
+@query(
+    "stream_tail",
+    "select flow_id, src_ip, cast(src_port as integer) as src_port, protocol, ts, flow_bytes_s, syn, label from flows",
+)
+def _(flows, spark, sf_dir):
+    return _run_scoring(flows, spark, lambda rows: rows).select(
+        "flow_id", "src_ip", "src_port", "protocol", "ts", "flow_bytes_s", "syn", "label"
+    )
+
+
+@query("stream_score", "select s.flow_id, s.label from scored s where true_label is not null", SCORED)
+def _(flows, spark, sf_dir):
+    return _run_scoring(flows, spark, score_job.linear_scorer).select("flow_id", "label")
+
+
+@query(
+    "stream_refresh",
+    f"""select ts as updated_day, count(*) as total_connections, count(*) filter (where {ATTACK}) as attack_count
+        from flows where flow_date = date '{DAY}' group by ts""",
+)
+def _(flows, spark, sf_dir):
+    base = shared_dir(spark, "refresh")
+    day = dt.date.fromisoformat(DAY)
+    write_analysed(flows_for_date(flows, day), f"{base}/store")
+    schema = spark.read.parquet(f"{base}/store").schema
+    job = refresh.start_refresh(
+        spark, f"{base}/store", schema, f"{base}/views", f"{base}/checkpoint",
+        ["network_summary", "suspicious_patterns"], _NOW,
+    )
+    job.awaitTermination()
+    return refresh.read_view(spark, f"{base}/views", day, "network_summary").select(
+        F.lit(DAY).cast("timestamp_ntz").alias("updated_day"), "total_connections", "attack_count"
+    )
+
+
+def _run_updates(view: DataFrame, spark: SparkSession, key: str) -> DataFrame:
+    base = shared_dir(spark, "live")
+    live.start_updates(view, f"{base}/updates", f"{base}/checkpoint", _NOW).awaitTermination()
+    return live.current_state(spark.read.parquet(f"{base}/updates"), key)
+
+
+@query("stream_trend", "select * from trend", TREND)
+def _(flows, spark, sf_dir):
+    return rounded(
+        _run_updates(live.live_trend(flow_stream(spark, sf_dir)), spark, "ts"), 2, "bytes", "packets"
+    )
+
+
+@query("stream_patterns")
+def _(flows, spark, sf_dir):
+    totals = _run_updates(live.live_pattern_totals(flow_stream(spark, sf_dir)), spark, "ip")
+    return anomaly.patterns_from_totals(totals)
+
+
+ORACLES["stream_patterns"] = ORACLES["suspicious_patterns"]

@@ -30,10 +30,10 @@ LINEAR_WEIGHTS = {
 def scorable(flows: DataFrame, required: Iterable[str] | None = None) -> DataFrame:
     """Flows that may be scored: nothing missing or infinite in ``required``, no protocol 0.
 
-    By default every column but the label is required: an incoming flow has no label yet, or an
-    unused placeholder.
+    By default every column is required, except those derived from the timestamp text.
     """
-    needed = [c for c in flows.columns if c != "label"] if required is None else list(required)
+    derived = ("ts", "flow_date")
+    needed = [c for c in flows.columns if c not in derived] if required is None else list(required)
     return drop_protocol_zero(drop_non_finite(flows, needed))
 
 

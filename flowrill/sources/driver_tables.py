@@ -21,9 +21,13 @@ def _address(prefix: str, number: str):
     )
 
 
-def flows_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed flow table over ``lineitem`` and ``orders`` in ``sf_dir``."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def flows_from_tables(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Typed flow table over ``lineitem`` and ``orders`` in ``sf_dir``.
+
+    ``lines`` replaces the line items, for example by a stream of them.
+    """
+    if lines is None:
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
@@ -72,6 +76,15 @@ def flows_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flows as a stream of line items joined with the static orders."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    lines = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    )
+    return flows_from_tables(spark, sf_dir, lines)
+
+
 # The same table for a SQL engine with ``//`` as integer division, as a CTE named ``flows``.
 FLOWS_SQL = """
 flows as (
