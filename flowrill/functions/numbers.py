@@ -33,9 +33,11 @@ def text_to_double(value: Column | str) -> Column:
 
 
 def text_to_whole(value: Column | str, type_name: str = "bigint") -> Column:
-    """Text to an integer via double, so ``5.7`` and ``3.0`` truncate instead of failing."""
-    number = text_to_double(value)
-    return F.when(is_finite(number), number.try_cast(type_name))
+    """Text to an integer via double, so ``5.7`` and ``3.0`` truncate instead of failing.
+
+    NaN, infinite and too large numbers become null.
+    """
+    return text_to_double(value).try_cast(type_name)
 
 
 def null_if_not_finite(value: Column | str) -> Column:

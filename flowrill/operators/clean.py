@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowrill.functions.flow_text import (
     SCORED_LABELS,
@@ -12,12 +12,7 @@ from flowrill.functions.flow_text import (
     attack_category,
     parse_flow_timestamp,
 )
-from flowrill.functions.numbers import (
-    is_finite,
-    null_if_not_finite,
-    text_to_double,
-    text_to_whole,
-)
+from flowrill.functions.numbers import null_if_not_finite
 from flowrill.schema import (
     CANONICAL_COLUMNS,
     DUPLICATE_HEADER,
@@ -41,12 +36,16 @@ def rename_canonical(df: DataFrame) -> DataFrame:
     return df.toDF(*CANONICAL_COLUMNS)
 
 
-def _typed(column: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.DoubleType):
-        return text_to_double(column)
-    if isinstance(data_type, (T.LongType, T.IntegerType)):
-        return text_to_whole(column, data_type.simpleString())
-    return F.when(column != "", column)
+def _typed(name: str) -> str:
+    """SQL text typing one text column; text keeps one call per column on the driver."""
+    column, data_type = f"`{name}`", column_type(name).simpleString()
+    if data_type == "string":
+        return f"nullif({column}, '') as {short_name(name)}"
+    number = f"try_cast(trim({column}) as double)"
+    if data_type != "double":
+        # Through double, so that 5.7 and 3.0 truncate instead of failing.
+        number = f"try_cast({number} as {data_type})"
+    return f"{number} as {short_name(name)}"
 
 
 def coerce_flows(df: DataFrame) -> DataFrame:
@@ -56,11 +55,12 @@ def coerce_flows(df: DataFrame) -> DataFrame:
     a numeric column. Only canonical columns present in ``df`` are kept.
     """
     present = [c for c in CANONICAL_COLUMNS if c in df.columns]
-    typed = [_typed(F.col(f"`{c}`"), column_type(c)).alias(short_name(c)) for c in present]
+    typed = df.selectExpr(*[_typed(c) for c in present])
     if "Timestamp" not in present:
-        return df.select(*typed)
-    ts = parse_flow_timestamp(F.col("Timestamp"))
-    return df.select(*typed, ts.alias("ts"), ts.cast("date").alias("flow_date"))
+        return typed
+    return typed.withColumn("ts", parse_flow_timestamp("timestamp_raw")).withColumn(
+        "flow_date", F.col("ts").cast("date")
+    )
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -78,11 +78,11 @@ def drop_non_finite(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     """Drop rows with a null, NaN or infinite value in ``columns`` (default: in any column)."""
     names = list(columns) if columns is not None else df.columns
     floating = set(_floating(df))
-    kept = df
-    for name in names:
-        col = F.col(f"`{name}`")
-        kept = kept.where(is_finite(col) if name in floating else col.isNotNull())
-    return kept
+    tests = [
+        f"coalesce(abs(`{c}`) < double('Infinity'), false)" if c in floating else f"`{c}` is not null"
+        for c in names
+    ]
+    return df.where(" and ".join(tests)) if tests else df
 
 
 def drop_non_finite_rates(df: DataFrame) -> DataFrame:
@@ -172,8 +172,6 @@ def encode_label(
 
 def label_codes(df: DataFrame, column: str = "label", output: str = "label_code") -> DataFrame:
     """One row per class with its alphabetical code."""
-    from pyspark.sql import Window
-
     distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
     return distinct.select(
         column, (F.row_number().over(Window.orderBy(column)) - 1).alias(output)
