@@ -31,6 +31,11 @@ def _scan(spark: SparkSession, paths, columns: list[str], encoding: str) -> Data
     )
 
 
+def _parsed(columns: list[str]):
+    """Always true, but refers to a data column: Spark refuses scans of the corrupt column only."""
+    return F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
+
+
 def read_flows(
     spark: SparkSession,
     path: str | list[str],
@@ -43,7 +48,7 @@ def read_flows(
     """
     columns = columns or CANONICAL_COLUMNS
     rows = _scan(spark, path, columns, encoding)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows.where(F.col(CORRUPT).isNull() & _parsed(columns)).drop(CORRUPT)
 
 
 def read_malformed(
@@ -53,8 +58,9 @@ def read_malformed(
     encoding: str = "UTF-8",
 ) -> DataFrame:
     """The rows that :func:`read_flows` skips, as ``raw_line`` with the file they came from."""
-    rows = _scan(spark, path, columns or CANONICAL_COLUMNS, encoding)
-    return rows.where(F.col(CORRUPT).isNotNull()).select(
+    columns = columns or CANONICAL_COLUMNS
+    rows = _scan(spark, path, columns, encoding)
+    return rows.where(F.col(CORRUPT).isNotNull() & _parsed(columns)).select(
         F.col(CORRUPT).alias("raw_line"), F.col("_metadata.file_path").alias("source_file")
     )
 
