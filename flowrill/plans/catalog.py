@@ -21,6 +21,7 @@ from flowrill.operators import (
     hosts,
     logs,
     metrics,
+    neighbours,
     profile,
     sampling,
     scaling,
@@ -1257,6 +1258,14 @@ def _(flows, spark, sf_dir):
     return _trained(flows, "Naive Bayes")
 
 
+@query("knn_classify")
+def _(flows, spark, sf_dir):
+    rows = scaling.standard_scale(_training_set(flows), MODEL_FEATURES)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    predicted = neighbours.knn_classify(train, test, MODEL_FEATURES, "label_code")
+    return test.select("flow_id", "label_code").join(predicted, "flow_id")
+
+
 _COMPARED = ["Logistic Regression", "Decision Tree", "Naive Bayes"]
 
 
