@@ -1085,7 +1085,8 @@ def _(flows, spark, sf_dir):
 )
 def _(flows, spark, sf_dir):
     usable = clean.select_model_features(clean.drop_non_finite(flows), keep=["flow_id", "label"])
-    scaled = scaling.standard_scale(sampling.split_stratified(usable), MODEL_FEATURES)
+    split = sampling.split_stratified(usable).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = scaling.standard_scale(split, MODEL_FEATURES)
     return rounded(scaled.drop("label"), 6, *MODEL_FEATURES)
 
 
@@ -1119,7 +1120,7 @@ _NB_STATS = ", ".join(
 )
 def _(flows, spark, sf_dir):
     usable = clean.select_model_features(clean.drop_non_finite(flows), keep=["flow_id", "label"])
-    split = sampling.split_stratified(usable)
+    split = sampling.split_stratified(usable).persist(StorageLevel.MEMORY_AND_DISK)
     return bayes.gaussian_nb(split, MODEL_FEATURES, ["BENIGN", "DoS"])
 
 
