@@ -39,7 +39,12 @@ from flowrill.schema import (
 )
 from flowrill.session import shared_dir
 from flowrill.sources import captures
-from flowrill.sources.day_store import flows_for_date, write_analysed
+from flowrill.sources.day_store import (
+    current_day_flows,
+    flows_for_date,
+    stored_flows_for_date,
+    write_analysed,
+)
 from flowrill.sources.driver_tables import FLOWS_SQL, flow_stream, flows_from_tables
 from flowrill.sources.models import load_model, save_model
 from flowrill.streaming import live, refresh, score_job
@@ -121,6 +126,45 @@ def _(flows, spark, sf_dir):
     )
 
 
+_DAY_ROWS = (
+    f"select flow_id, src_ip, ts, flow_packets_s, label from flows where flow_date = date '{DAY}'"
+)
+_DAY_COLUMNS = ["flow_id", "src_ip", "ts", "flow_packets_s", "label"]
+
+
+@query("current_day_flows", _DAY_ROWS)
+def _(flows, spark, sf_dir):
+    return current_day_flows(flows, today=DAY).select(*_DAY_COLUMNS)
+
+
+@query("write_analysed", _DAY_ROWS)
+def _(flows, spark, sf_dir):
+    path = shared_dir(spark, "analysed")
+    rows = flows_for_date(flows, DAY)
+    for attempt in range(2):  # the second attempt of a batch replaces the first
+        write_analysed(rows, path, batch_id=3)
+    return stored_flows_for_date(spark, path, DAY, spark.read.parquet(path).schema).select(*_DAY_COLUMNS)
+
+
+@query("write_dataset", "select flow_id, flow_bytes_s, label from finite_flows", FINITE_FLOWS)
+def _(flows, spark, sf_dir):
+    path = shared_dir(spark, "dataset")
+    captures.write_dataset(clean.drop_non_finite(flows), path)
+    return spark.read.parquet(path).select("flow_id", "flow_bytes_s", "label")
+
+
+@query(
+    "read_flows",
+    "select flow_id, src_ip, protocol, ts, total_length_fwd, flow_bytes_s, syn, label from flows",
+)
+def _(flows, spark, sf_dir):
+    path = shared_dir(spark, "capture")
+    _write_captures(flows, path)
+    return clean.coerce_flows(captures.read_flows(spark, path, _STREAMED)).select(
+        "flow_id", "src_ip", "protocol", "ts", "total_length_fwd", "flow_bytes_s", "syn", "label"
+    )
+
+
 # --- projections and filters -------------------------------------------------------------------
 
 _LABEL_NAMES = [*text.ATTACK_CATEGORIES, "Other"]
@@ -152,6 +196,19 @@ def _(flows, spark, sf_dir):
     return clean.drop_unknown(_categorised(flows)).select("flow_id", "attack_label", "class_label")
 
 
+@query(
+    "read_flows_latin1",
+    'select flow_id as "Flow ID", attack_label as "Label", class_label from categorised',
+    CATEGORISED,
+)
+def _(flows, spark, sf_dir):
+    path = shared_dir(spark, "latin1")
+    named = _categorised(flows).select(F.col("flow_id").alias("Flow ID"), F.col("attack_label").alias("Label"))
+    named.write.option("header", "true").option("encoding", "ISO-8859-1").csv(path)
+    rows = captures.read_flows(spark, path, ["Flow ID", "Label"], encoding="ISO-8859-1")
+    return clean.add_attack_category(rows, "Label")
+
+
 @query(
     "exclude_classes",
     """select flow_id, class_label from categorised where class_label not in
@@ -1349,8 +1406,8 @@ def _write_captures(flows: DataFrame, folder: str) -> None:
     named.write.option("header", "true").csv(folder)
 
 
-def _run_scoring(flows: DataFrame, spark: SparkSession, scorer) -> DataFrame:
-    """Score the capture files of the flows to the end; the analysed table."""
+def _run_scoring(flows: DataFrame, spark: SparkSession, scorer):
+    """Score the capture files of the flows to the end; the analysed table and the job."""
     base = shared_dir(spark, "scoring")
     _write_captures(flows, f"{base}/captures")
     job = score_job.start_scoring(
@@ -1358,7 +1415,7 @@ def _run_scoring(flows: DataFrame, spark: SparkSession, scorer) -> DataFrame:
         scorer, _STREAMED, _NOW, by_day=False,
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{base}/analysed")
+    return spark.read.parquet(f"{base}/analysed"), job
 
 
 @query(
@@ -1366,14 +1423,29 @@ def _run_scoring(flows: DataFrame, spark: SparkSession, scorer) -> DataFrame:
     "select flow_id, src_ip, cast(src_port as integer) as src_port, protocol, ts, flow_bytes_s, syn, label from flows",
 )
 def _(flows, spark, sf_dir):
-    return _run_scoring(flows, spark, lambda rows: rows).select(
+    analysed, _job = _run_scoring(flows, spark, lambda rows: rows)
+    return analysed.select(
         "flow_id", "src_ip", "src_port", "protocol", "ts", "flow_bytes_s", "syn", "label"
     )
 
 
 @query("stream_score", "select s.flow_id, s.label from scored s where true_label is not null", SCORED)
 def _(flows, spark, sf_dir):
-    return _run_scoring(flows, spark, score_job.linear_scorer).select("flow_id", "label")
+    analysed, _job = _run_scoring(flows, spark, score_job.linear_scorer)
+    return analysed.select("flow_id", "label")
+
+
+@query(
+    "stream_metrics",
+    """select count(*) as rows_in, 0::bigint as malformed,
+         count(*) filter (where protocol = 0) as protocol_zero from flows""",
+)
+def _(flows, spark, sf_dir):
+    _analysed, job = _run_scoring(flows, spark, score_job.linear_scorer)
+    names = ["rows_in", "malformed", "protocol_zero"]
+    batches = [tuple(m[n] for n in names) for m in score_job.batch_metrics(job)]
+    observed = spark.createDataFrame(batches, ", ".join(f"{n} bigint" for n in names))
+    return observed.agg(*[F.sum(n).alias(n) for n in names])
 
 
 @query(
