@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowrill.llm.decontaminate import contamination
+from flowrill.llm.fingerprints import fingerprint_documents
+from flowrill.llm.licenses import scan_licenses
+from flowrill.llm.mixing import replicate
 from flowrill.llm.sharding import shuffle_into_shards
+from flowrill.llm.token_counts import token_counts
 from flowrill.llm.token_files import token_id_output
 from flowrill.llm.warc import archive, read_records
 from flowrill.session import shared_dir
@@ -28,12 +32,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, _table(spark, sf_dir, "benchmark")).drop("passages")
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
@@ -48,6 +62,11 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive(_table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
@@ -62,6 +81,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_output(docs, shared_dir(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replicate(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -104,3 +128,30 @@ select page_id, payload_bytes, payload_digest,
   case when page_id <> target then target end as refers_to
 from page left join largest using (payload_digest)
 """
+
+ORACLES["op10_mix_sources"] = """
+with counts as (select source, count(*) as n from documents group by source),
+rates as (
+  select source, pow(n, 0.5) / sum(pow(n, 0.5)) over () * sum(n) over () / n as rate from counts
+),
+terms as (
+  select source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) as term
+  from rates, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 30) as bigint) + 1)) as u(k)
+),
+steps as (
+  select source, sum(term) over (partition by source order by k rows unbounded preceding) as step from terms
+),
+drawn as (
+  select doc_id, source,
+    cast(concat('0x', substr(md5(concat('10:', coalesce(cast(doc_id as varchar), ''))), 1, 13)) as bigint)
+      / 4503599627370496.0 as u
+  from documents
+),
+times as (
+  select doc_id, source, (select count(*) from steps s where s.source is not distinct from drawn.source and s.step <= u) as n
+  from drawn
+)
+select doc_id, source, cast(c as integer) as copy,
+  cast(concat('0x', substr(md5(concat('10:', coalesce(cast(doc_id as varchar), ''), ':', c)), 1, 15)) as bigint) as order_key
+from times, unnest(range(1, n + 1)) as u(c)
+"""
