@@ -6,8 +6,11 @@ an operator adds itself, do not get in its way. In a result the operator's colum
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from flowrill.session import shared_dir
+
 ROW = "row"
 
 
@@ -33,3 +36,20 @@ def unpacked(df: DataFrame, *added: str) -> DataFrame:
 
 def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame written to a new table in the shared folder and read again; and the table's path.
+
+    Cuts lineage: what a lost executor held is read again, not computed again.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(*paths: str) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more."""
+    for path in paths:
+        system, where = pafs.FileSystem.from_uri(path)
+        system.delete_dir(where)

@@ -11,6 +11,8 @@ from flowrill.llm.decontaminate import contamination
 from flowrill.llm.fingerprints import fingerprint_documents
 from flowrill.llm.licenses import scan_licenses
 from flowrill.llm.mixing import replicate
+from flowrill.llm.near_dups import near_classes
+from flowrill.llm.quality import quality_scores
 from flowrill.llm.sharding import shuffle_into_shards
 from flowrill.llm.token_counts import token_counts
 from flowrill.llm.token_files import token_id_output
@@ -32,6 +34,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +88,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_output(docs, shared_dir(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_classes(docs).select("doc_id", "class_id", "class_size", "keep")
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(_table(spark, sf_dir, "documents").select("doc_id", "source"))
