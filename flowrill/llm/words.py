@@ -12,7 +12,7 @@ from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = re.compile(WORD_PATTERN)
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")  # the same in texts not lowered
 
 # Bytes of a word stay (A-Z lowered), all others become blanks. Bytes from 128 on belong to
 # non-ASCII characters, so this may work on UTF-8 without decoding it.
