@@ -11,6 +11,7 @@ result. An empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -80,6 +81,8 @@ class WindowAutomaton:
         self.automaton = ahocorasick.Automaton()
         for text, ids in owners.items():
             self.automaton.add_word(text, (len(text), ids))
+        # A window lies in a run of words that all occur in items; only such runs are walked.
+        self.runs = re.compile("[^\0]{%d,}" % min(map(len, owners), default=1))
         if owners:
             self.automaton.make_automaton()
         self.empty = not owners
@@ -99,12 +102,13 @@ class WindowAutomaton:
             return [], items
         get = self.symbols.get
         line = "".join([get(w, "\0") for w in text])
-        for last, (length, ids) in self.automaton.iter(line):
-            items |= ids
-            first = last - length + 1
-            while ranges and first <= ranges[-1][1] + 1:
-                first = min(first, ranges.pop()[0])
-            ranges.append([first, last])
+        for run in self.runs.finditer(line):
+            for last, (length, ids) in self.automaton.iter(line, *run.span()):
+                items |= ids
+                first = last - length + 1
+                while ranges and first <= ranges[-1][1] + 1:
+                    first = min(first, ranges.pop()[0])
+                ranges.append([first, last])
         return [(a, b) for a, b in ranges], items
 
 
