@@ -13,6 +13,7 @@ from flowrill.functions.flow_text import (
     parse_flow_timestamp,
 )
 from flowrill.functions.numbers import null_if_not_finite
+from flowrill.operators.ranking import named_groups
 from flowrill.schema import (
     CANONICAL_COLUMNS,
     DUPLICATE_HEADER,
@@ -157,10 +158,11 @@ def encode_label(
     """Alphabetical class codes from 0; rows without a class are dropped.
 
     With ``classes`` known the codes are a plain expression. Otherwise the distinct classes are
-    ranked (a table of one row per class) and joined back; the optimizer broadcasts that table
-    when its measured size allows and splits the hot class's partition when not.
+    looked up first; only if they are very many are they ranked as a table and joined back.
     """
     present = df.where(F.col(column).isNotNull())
+    if classes is None:
+        classes = named_groups(df, column)
     if classes is not None:
         code = F
         for index, name in enumerate(sorted(classes)):

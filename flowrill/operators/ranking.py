@@ -93,6 +93,20 @@ def exact_quantiles(
     return found.select("column_name", "probability", checked.alias("value"))
 
 
+# More groups than this are joined, fewer are named in expressions.
+MAX_NAMED_GROUPS = 1000
+
+
+def named_groups(df: DataFrame, group: str) -> list | None:
+    """The groups of a table, or None if they are more than ``MAX_NAMED_GROUPS``.
+
+    Distinct values are combined map-side and at most that many come to the driver, so that a table
+    with few classes is not shuffled on its class.
+    """
+    rows = df.where(F.col(group).isNotNull()).select(group).distinct().limit(MAX_NAMED_GROUPS + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= MAX_NAMED_GROUPS else None
+
+
 def digest_cutoffs(
     df: DataFrame,
     group: str,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowrill.functions.flow_text import BENIGN, DOS
 from flowrill.functions.hashing import seeded_digest, uniform_between
-from flowrill.operators.ranking import attach_cutoffs, digest_cutoffs, within
+from flowrill.operators.ranking import attach_cutoffs, digest_cutoffs, named_groups, within
 from flowrill.schema import MODEL_FEATURES
 
 # Features rounded to whole numbers after augmentation.
@@ -20,6 +20,8 @@ def _with_cutoffs(
     df: DataFrame, label: str, key: str, seed: int, limits: dict[str, Column],
     classes: list | None, hex_digits: int,
 ) -> DataFrame:
+    if classes is None:
+        classes = named_groups(df, label)
     keyed = df.where(F.col(label).isNotNull()).withColumn(_DIGEST, seeded_digest(seed, key))
     cutoffs = digest_cutoffs(keyed, label, _DIGEST, key, limits, classes, hex_digits)
     return attach_cutoffs(keyed, cutoffs, label, classes)

@@ -137,13 +137,13 @@ def _(flows, spark, sf_dir):
     return current_day_flows(flows, today=DAY).select(*_DAY_COLUMNS)
 
 
-@query("write_analysed", _DAY_ROWS)
+@query("write_analysed", "select flow_id, src_ip, ts, flow_packets_s, label from flows")
 def _(flows, spark, sf_dir):
     path = shared_dir(spark, "analysed")
-    rows = flows_for_date(flows, DAY)
+    rows = flows.select(*_DAY_COLUMNS, "flow_date")
     for attempt in range(2):  # the second attempt of a batch replaces the first
-        write_analysed(rows, path, batch_id=3)
-    return stored_flows_for_date(spark, path, DAY, spark.read.parquet(path).schema).select(*_DAY_COLUMNS)
+        write_analysed(rows, path, batch_id=3, by_day=False)
+    return spark.read.parquet(path).select(*_DAY_COLUMNS)
 
 
 @query("write_dataset", "select flow_id, flow_bytes_s, label from finite_flows", FINITE_FLOWS)
@@ -1142,7 +1142,7 @@ def _(flows, spark, sf_dir):
 )
 def _(flows, spark, sf_dir):
     usable = clean.select_model_features(clean.drop_non_finite(flows), keep=["flow_id", "label"])
-    split = sampling.split_stratified(usable).persist(StorageLevel.MEMORY_AND_DISK)
+    split = sampling.split_stratified(usable, classes=["BENIGN", "DoS"]).persist(StorageLevel.MEMORY_AND_DISK)
     scaled = scaling.standard_scale(split, MODEL_FEATURES)
     return rounded(scaled.drop("label"), 6, *MODEL_FEATURES)
 
@@ -1169,16 +1169,21 @@ _NB_STATS = ", ".join(
 @query(
     "gaussian_nb",
     f"""select flow_id, label, case when {_nb_score('a')} >= {_nb_score('b')} then 'BENIGN' else 'DoS' end
-          as prediction from split_flows, nb where split = 'test'""",
+          as prediction from scaled, nb where split = 'test'""",
     FINITE_FLOWS + "," + BALANCED + "," + SPLIT
+    + ", scaled as (select flow_id, label, split, "
+    + ", ".join(f"({c} - m_{c}) / case when d_{c} = 0 then 1 else d_{c} end as {c}" for c in MODEL_FEATURES)
+    + " from split_flows, (select "
+    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as d_{c}" for c in MODEL_FEATURES)
+    + " from split_flows where split = 'train'))"
     + f", nb as (select {_NB_STATS}, count(*) as n, 1e-9 * greatest("
     + ", ".join(f"var_pop({c})" for c in MODEL_FEATURES)
-    + ") as eps from split_flows where split = 'train')",
+    + ") as eps from scaled where split = 'train')",
 )
 def _(flows, spark, sf_dir):
     usable = clean.select_model_features(clean.drop_non_finite(flows), keep=["flow_id", "label"])
-    split = sampling.split_stratified(usable).persist(StorageLevel.MEMORY_AND_DISK)
-    return bayes.gaussian_nb(split, MODEL_FEATURES, ["BENIGN", "DoS"])
+    split = sampling.split_stratified(usable, classes=["BENIGN", "DoS"]).persist(StorageLevel.MEMORY_AND_DISK)
+    return bayes.gaussian_nb(scaling.standard_scale(split, MODEL_FEATURES), MODEL_FEATURES, ["BENIGN", "DoS"])
 
 
 _REQUIRED = ["flow_bytes_s", "flow_packets_s"]
@@ -1407,15 +1412,19 @@ def _write_captures(flows: DataFrame, folder: str) -> None:
 
 
 def _run_scoring(flows: DataFrame, spark: SparkSession, scorer):
-    """Score the capture files of the flows to the end; the analysed table and the job."""
+    """Score the capture files of the flows to the end; the folder of the job's tables."""
     base = shared_dir(spark, "scoring")
     _write_captures(flows, f"{base}/captures")
+    _score_captures(spark, base, scorer)
+    return base
+
+
+def _score_captures(spark: SparkSession, base: str, scorer) -> None:
     job = score_job.start_scoring(
         spark, f"{base}/captures", f"{base}/analysed", f"{base}/quarantine", f"{base}/checkpoint",
-        scorer, _STREAMED, _NOW, by_day=False,
+        scorer, _STREAMED, _NOW, by_day=False, metrics=f"{base}/metrics",
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{base}/analysed"), job
 
 
 @query(
@@ -1423,29 +1432,56 @@ def _run_scoring(flows: DataFrame, spark: SparkSession, scorer):
     "select flow_id, src_ip, cast(src_port as integer) as src_port, protocol, ts, flow_bytes_s, syn, label from flows",
 )
 def _(flows, spark, sf_dir):
-    analysed, _job = _run_scoring(flows, spark, lambda rows: rows)
-    return analysed.select(
+    base = _run_scoring(flows, spark, lambda rows: rows)
+    return spark.read.parquet(f"{base}/analysed").select(
         "flow_id", "src_ip", "src_port", "protocol", "ts", "flow_bytes_s", "syn", "label"
     )
 
 
 @query("stream_score", "select s.flow_id, s.label from scored s where true_label is not null", SCORED)
 def _(flows, spark, sf_dir):
-    analysed, _job = _run_scoring(flows, spark, score_job.linear_scorer)
-    return analysed.select("flow_id", "label")
+    base = _run_scoring(flows, spark, score_job.linear_scorer)
+    return spark.read.parquet(f"{base}/analysed").select("flow_id", "label")
 
 
 @query(
     "stream_metrics",
-    """select count(*) as rows_in, 0::bigint as malformed,
+    """select count(*) + count(*) filter (where protocol in (2, 17)) as rows_in,
+         count(*) filter (where protocol in (2, 17)) as malformed,
          count(*) filter (where protocol = 0) as protocol_zero from flows""",
 )
 def _(flows, spark, sf_dir):
-    _analysed, job = _run_scoring(flows, spark, score_job.linear_scorer)
+    base = _run_bad_captures(flows, spark)
     names = ["rows_in", "malformed", "protocol_zero"]
-    batches = [tuple(m[n] for n in names) for m in score_job.batch_metrics(job)]
-    observed = spark.createDataFrame(batches, ", ".join(f"{n} bigint" for n in names))
-    return observed.agg(*[F.sum(n).alias(n) for n in names])
+    return score_job.batch_metrics(spark, f"{base}/metrics").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _run_bad_captures(flows: DataFrame, spark: SparkSession) -> str:
+    """Two batches: the flows, and then files whose lines are malformed.
+
+    Flows of protocol 2 come again without their last field, under the full header; those of
+    protocol 17 come again under a header that lacks a column.
+    """
+    base = _run_scoring(flows, spark, score_job.linear_scorer)
+    named = flows.select(*[F.col(short_name(c)).alias(c) for c in _STREAMED])
+    short = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in _STREAMED[:-1]])
+    whole = named.where("Protocol = 2").select(short.alias(",".join(_STREAMED)))
+    whole.write.mode("append").option("header", "true").option("sep", "\u0001").csv(f"{base}/captures")
+    other = named.where("Protocol = 17").drop(_STREAMED[-1])
+    other.write.mode("append").option("header", "true").csv(f"{base}/captures")
+    _score_captures(spark, base, score_job.linear_scorer)
+    return base
+
+
+@query(
+    "stream_quarantine",
+    """select split_part(flow_id, '-', 1) as order_key, count(*) as bad_lines from flows
+       where protocol in (2, 17) group by 1""",
+)
+def _(flows, spark, sf_dir):
+    base = _run_bad_captures(flows, spark)
+    key = F.split_part(F.regexp_replace("line", '"', ""), F.lit("-"), F.lit(1)).alias("order_key")
+    return spark.read.parquet(f"{base}/quarantine").groupBy(key).agg(F.count(F.lit(1)).alias("bad_lines"))
 
 
 @query(
@@ -1471,7 +1507,7 @@ def _(flows, spark, sf_dir):
 def _run_updates(view: DataFrame, spark: SparkSession, key: str) -> DataFrame:
     base = shared_dir(spark, "live")
     live.start_updates(view, f"{base}/updates", f"{base}/checkpoint", _NOW).awaitTermination()
-    return live.current_state(spark.read.parquet(f"{base}/updates"), key)
+    return live.current_state(live.read_updates(spark, f"{base}/updates", view), key)
 
 
 @query("stream_trend", "select * from trend", TREND)

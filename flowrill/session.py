@@ -45,17 +45,25 @@ def build_session(
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names the folder. Only where it is unset (tests, one machine) is a
-    temporary folder used instead.
+    ``spark.checkpoint.dir`` names the folder. Only on one machine may it be unset; a temporary
+    folder is used there. On a cluster executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="flowrill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system Spark resolves it to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give the session a checkpoint folder when the cluster has not named one."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -78,15 +80,30 @@ def _list_csv(directory: str) -> tuple[fs.FileSystem, list[str], str]:
 
 
 def _header(filesystem: fs.FileSystem, path: str, encoding: str) -> tuple[str, ...]:
+    """Column names of a capture; repeated ones get ``.1``, ``.2``, ... in order."""
     with filesystem.open_input_stream(path) as stream:
         head = b""
-        while b"\n" not in head:
+        while True:  # a line end inside quotes does not end the header
             block = stream.read(65536)
-            if not block:
-                break
             head += block
-    line = head.split(b"\n", 1)[0].decode(encoding).lstrip("﻿").rstrip("\r")
-    return tuple(name.strip() for name in next(csv.reader([line]), []))
+            end = head.find(b"\n")
+            while end >= 0 and head.count(b'"', 0, end) % 2:
+                end = head.find(b"\n", end + 1)
+            if end >= 0 or not block:
+                break
+    text = (head if end < 0 else head[:end]).decode(encoding).lstrip("\ufeff").rstrip("\r")
+    return unique_names(name.strip() for name in next(csv.reader(io.StringIO(text, newline="")), []))
+
+
+def unique_names(names: Iterable[str]) -> tuple[str, ...]:
+    """Names in order, repeated ones numbered: ``a, a, a`` become ``a, a.1, a.2``."""
+    seen: dict[str, int] = {}
+    out: list[str] = []
+    for name in names:
+        number = seen.get(name, 0)
+        seen[name] = number + 1
+        out.append(f"{name}.{number}" if number else name)
+    return tuple(out)
 
 
 def combine_captures(spark: SparkSession, directory: str, encoding: str = "UTF-8") -> DataFrame:

@@ -77,10 +77,13 @@ def flows_from_tables(spark: SparkSession, sf_dir: str, lines: DataFrame | None
 
 
 def flow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same flows as a stream of line items joined with the static orders."""
+    """The same flows as a stream of line items joined with the static orders.
+
+    The table may be a file or a folder of files; a pattern as path accepts both.
+    """
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     lines = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+        spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parque[t]")
     )
     return flows_from_tables(spark, sf_dir, lines)
 

@@ -10,6 +10,7 @@ The source hands out raw lines. Parsing, typing and scoring are ordinary express
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -20,7 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 # Executors get the classes by value, whether or not this package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCHEMA = "source_file string, position bigint, header string, line string"
+SCHEMA = "source_file string, position bigint, header_ok boolean, line string"
+FORGOTTEN = "/forgotten"  # no file name holds a slash
 _BLOCK = 1 << 20
 
 
@@ -44,7 +46,9 @@ class CaptureTailReader(DataSourceStreamReader):
 
     A file that shrank, or whose first data line changed, was created anew and is read from its
     start. Files with a date in their name can be forgotten after ``max_age_days``, which bounds
-    the offset; a forgotten file must not grow any more.
+    the offset; a forgotten file must not grow any more. Up to which day files are forgotten is
+    part of the offset (under ``FORGOTTEN``), and a batch that would forget a file not read to its
+    end fails. A job that starts with old files there ignores them.
     """
 
     def __init__(self, options: dict):
@@ -53,22 +57,49 @@ class CaptureTailReader(DataSourceStreamReader):
         self.range_bytes = int(options.get("rangebytes", 64 << 20))
         self.max_age_days = int(options["maxagedays"]) if "maxagedays" in options else None
         self.today = options.get("today")
+        self.columns = json.loads(options["columns"]) if "columns" in options else None
         self.seen: dict = {}
 
     def initialOffset(self) -> dict:
         return {}
 
-    def _recent(self, name: str) -> bool:
+    def _last_forgotten(self) -> int | None:
+        """Number of the newest day whose files are forgotten."""
         import datetime as dt
 
         if self.max_age_days is None:
-            return True
+            return None
+        today = dt.date.fromisoformat(self.today) if self.today else dt.date.today()
+        return today.toordinal() - self.max_age_days - 1
+
+    @staticmethod
+    def _day(name: str) -> int | None:
+        import datetime as dt
+
         try:
-            day = dt.date.fromisoformat(name[:10])
+            return dt.date.fromisoformat(name[:10]).toordinal()
         except ValueError:
-            return True
-        today = dt.date.fromisoformat(self.today) if self.today else dt.date.today()
-        return (today - day).days <= self.max_age_days
+            return None
+
+    def _recent(self, name: str) -> bool:
+        last, day = self._last_forgotten(), self._day(name)
+        return last is None or day is None or day > last
+
+    def _check_forgotten(self, start: dict, end: dict) -> None:
+        """Fail if a file forgotten between two offsets has rows that were never read."""
+        from pyarrow import fs
+
+        if FORGOTTEN not in start or FORGOTTEN not in end or start[FORGOTTEN] == end[FORGOTTEN]:
+            return
+        filesystem, root = _filesystem(self.path)
+        for info in filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            name, day = info.base_name, self._day(info.base_name)
+            if day is None or not name.endswith(self.suffix):
+                continue
+            if start[FORGOTTEN][0] < day <= end[FORGOTTEN][0]:
+                now = self._whole_lines(filesystem, info.path, info.size)
+                if now is not None and start.get(name) != now:
+                    raise ValueError(f"{name} is older than max_age_days but was not read to its end")
 
     def latestOffset(self) -> dict:
         from pyarrow import fs
@@ -76,6 +107,8 @@ class CaptureTailReader(DataSourceStreamReader):
         filesystem, root = _filesystem(self.path)
         infos = filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
         offset = {}
+        if (last := self._last_forgotten()) is not None:
+            offset[FORGOTTEN] = [last, 0]
         for info in infos:
             name = info.base_name
             if not info.is_file or not name.endswith(self.suffix) or not self._recent(name):
@@ -114,7 +147,10 @@ class CaptureTailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         ranges: list[InputPartition] = []
+        self._check_forgotten(start, end)
         for name, (stop, mark) in sorted(end.items()):
+            if name == FORGOTTEN:
+                continue
             done, old_mark = start.get(name, [0, mark])
             first = done if old_mark == mark and done <= stop else 0
             path = f"{self.path.rstrip('/')}/{name}"
@@ -125,10 +161,11 @@ class CaptureTailReader(DataSourceStreamReader):
     def read(self, partition: ByteRange) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         filesystem, path = _filesystem(partition.path)
         schema = pa.schema(
-            [("source_file", pa.string()), ("position", pa.int64()), ("header", pa.string()), ("line", pa.string())]
+            [("source_file", pa.string()), ("position", pa.int64()), ("header_ok", pa.bool_()), ("line", pa.string())]
         )
         with filesystem.open_input_file(path) as stream:
             size = stream.size()
@@ -137,6 +174,8 @@ class CaptureTailReader(DataSourceStreamReader):
                 head += stream.read_at(_BLOCK, len(head))
             header_end = head.index(b"\n") + 1
             header = head[: header_end - 1].rstrip(b"\r").decode("utf-8", "replace")
+            names = [name.replace('"', "").strip() for name in header.split(",")]
+            header_ok = self.columns is None or names == self.columns
 
             at = partition.low
             if at > partition.first:
@@ -171,20 +210,19 @@ class CaptureTailReader(DataSourceStreamReader):
                 lengths = np.fromiter((len(x) for x in lines), np.int64, len(lines)) + 1
                 starts = base + np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 wanted = int(np.searchsorted(starts, partition.high))
-                texts, places = [], []
-                for raw, place in zip(lines[:wanted], starts[:wanted].tolist()):
-                    raw = raw.rstrip(b"\r")
-                    if raw and place >= header_end:
-                        texts.append(raw.decode("utf-8", "replace"))
-                        places.append(place)
-                if texts:
-                    n = len(texts)
+                # A line end is the same byte in the decoded text, so the block is decoded at once.
+                text = b"\n".join(lines[:wanted]).decode("utf-8", "replace")
+                texts = pc.utf8_rtrim(pa.array(text.split("\n"), pa.string()), "\r")
+                texts = texts[:wanted]
+                places = pa.array(starts[:wanted])
+                full = pc.and_(pc.greater(pc.utf8_length(texts), 0), pc.greater_equal(places, header_end))
+                texts, places = texts.filter(full), places.filter(full)
+                n = len(texts)
+                if n:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([partition.path] * n, pa.string()),
-                            pa.array(places, pa.int64()),
-                            pa.array([header] * n, pa.string()),
-                            pa.array(texts, pa.string()),
+                            pa.array([partition.path] * n, pa.string()), places,
+                            pa.array([header_ok] * n, pa.bool_()), texts,
                         ],
                         schema=schema,
                     )
@@ -206,10 +244,16 @@ class CaptureTailSource(DataSource):
         return CaptureTailReader({k.lower(): v for k, v in self.options.items()})
 
 
-def tail_captures(spark: SparkSession, folder: str, **options):
-    """Streaming DataFrame of the raw lines appended to the captures of a folder."""
+def tail_captures(spark: SparkSession, folder: str, columns: list[str] | None = None, **options):
+    """Streaming DataFrame of the raw lines appended to the captures of a folder.
+
+    ``header_ok`` tells whether a line's file has the header ``columns`` (true if none are given);
+    it is found once per range, and the header itself does not travel with the lines.
+    """
     spark.dataSource.register(CaptureTailSource)
     reader = spark.readStream.format("capture_tail").option("path", folder)
+    if columns is not None:
+        reader = reader.option("columns", json.dumps(columns))
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()

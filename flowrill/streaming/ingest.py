@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowrill.operators.clean import coerce_flows
 from flowrill.schema import CANONICAL_COLUMNS
@@ -11,11 +11,6 @@ CORRUPT = "_corrupt_record"
 ORIGIN = ["source_file", "position"]
 
 
-def _header_matches(columns: list[str]) -> Column:
-    names = F.transform(F.split("header", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    return names == F.array(*[F.lit(c) for c in columns])
-
-
 def parse_lines(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add ``fields`` (text per column) and ``malformed``.
 
@@ -32,7 +27,7 @@ def parse_lines(lines: DataFrame, columns: list[str] | None = None) -> DataFrame
         },
     )
     parsed = lines.withColumn("fields", fields)
-    wrong = F.col(f"fields.{CORRUPT}").isNotNull() | ~_header_matches(columns)
+    wrong = F.col(f"fields.{CORRUPT}").isNotNull() | ~F.col("header_ok")
     return parsed.withColumn("malformed", F.coalesce(wrong, F.lit(True)))
 
 

@@ -5,20 +5,27 @@ State is one small row per time window or source; rows are combined map-side bef
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowrill.functions.flow_text import has_text
 from flowrill.functions.numbers import number_or_zero
+from flowrill.session import path_exists
 
 
-def live_trend(flows: DataFrame, window: str = "1 second", late: str = "1 hour") -> DataFrame:
-    """Byte and packet rate sums per time window; windows older than ``late`` are closed."""
+def live_trend(flows: DataFrame, window: str = "1 second", late: str | None = None) -> DataFrame:
+    """Byte and packet rate sums per time window.
+
+    By default no row is late: a window's state, one small row, is kept for good. With ``late``
+    windows older than that are closed and later rows of theirs dropped; :class:`DroppedRows`
+    counts them.
+    """
+    # Watermarks need a zoned timestamp; sessions run in UTC.
+    timed = flows.withColumn("event_time", F.col("ts").cast("timestamp"))
+    if late is not None:
+        timed = timed.withWatermark("event_time", late)
     return (
-        # Watermarks need a zoned timestamp; sessions run in UTC.
-        flows.withColumn("event_time", F.col("ts").cast("timestamp"))
-        .withWatermark("event_time", late)
-        .groupBy(F.window("event_time", window).alias("w"))
+        timed.groupBy(F.window("event_time", window).alias("w"))
         .agg(
             F.sum(number_or_zero("flow_bytes_s")).alias("bytes"),
             F.sum(number_or_zero("flow_packets_s")).alias("packets"),
@@ -41,6 +48,30 @@ def live_pattern_totals(flows: DataFrame) -> DataFrame:
     )
 
 
+class DroppedRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, per query id and from all batches.
+
+    Register with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        dropped = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def start_updates(
     view: DataFrame, output: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -62,6 +93,14 @@ def start_updates(
     )
 
 
+def read_updates(spark: SparkSession, output: str, view: DataFrame) -> DataFrame:
+    """What :func:`start_updates` wrote so far; no rows if no batch had any."""
+    schema = view.schema.add("batch_id", "long")
+    if not path_exists(spark, output):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(output)
+
+
 def current_state(updates: DataFrame, key: str) -> DataFrame:
     """The last written row of every key; one row per key and batch exists at most."""
     columns = [c for c in updates.columns if c not in (key, "batch_id")]

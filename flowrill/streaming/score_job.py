@@ -15,11 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowrill.functions.numbers import text_to_double
 from flowrill.plans.scoring import linear_label, scorable, score_flows
+from flowrill.schema import CANONICAL_COLUMNS
+from flowrill.session import path_exists
 from flowrill.sources.day_store import write_analysed
 from flowrill.sources.tail import tail_captures
 from flowrill.streaming.ingest import malformed_lines, parse_lines, typed_lines
 
-METRICS = "flow_batch"
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -32,17 +33,25 @@ def linear_scorer(flows: DataFrame) -> DataFrame:
     return scorable(flows).withColumn("label", linear_label())
 
 
-def _observed(parsed: DataFrame) -> DataFrame:
-    """Count rows, malformed rows and rows of protocol 0 while they pass by."""
+def _counters(parsed: DataFrame) -> DataFrame:
+    """Rows, malformed rows and rows of protocol 0 of a batch."""
     protocol_zero = ~F.col("malformed") & (text_to_double(F.col("fields.Protocol")) == 0)
-    return parsed.observe(
-        METRICS,
+    return parsed.agg(
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if("malformed").alias("malformed"),
         F.count_if(protocol_zero).alias("protocol_zero"),
     )
 
 
+def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch's rows under its number, in place of what an earlier attempt left."""
+    (
+        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id").parquet(path)
+    )
+
+
 def start_scoring(
     spark: SparkSession,
     folder: str,
@@ -54,28 +63,25 @@ def start_scoring(
     trigger: dict | None = None,
     name: str = "flow_scoring",
     by_day: bool = True,
+    metrics: str | None = None,
     **source_options,
 ) -> StreamingQuery:
     """Start scoring the captures of a folder; also what exists when the job starts.
 
     ``trigger`` is passed to the stream, for example ``{"processingTime": "1 second"}`` or
-    ``{"availableNow": True}``.
+    ``{"availableNow": True}``. With ``metrics`` the counters of every batch are written below it,
+    under the batch's number.
     """
-    lines = tail_captures(spark, folder, **source_options)
-    parsed = _observed(parse_lines(lines, columns))
+    lines = tail_captures(spark, folder, columns or CANONICAL_COLUMNS, **source_options)
+    parsed = parse_lines(lines, columns)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             write_analysed(scorer(typed_lines(batch, columns)), output, batch_id, by_day)
-            (
-                malformed_lines(batch)
-                .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(quarantine)
-            )
+            _write_batch(malformed_lines(batch), quarantine, batch_id)
+            if metrics is not None:
+                _write_batch(_counters(batch), metrics, batch_id)
         finally:
             batch.unpersist()
 
@@ -88,11 +94,9 @@ def start_scoring(
     )
 
 
-def batch_metrics(query: StreamingQuery) -> list[dict]:
-    """Counters of the recent batches: number, rows in, malformed rows, rows of protocol 0."""
-    found = []
-    for progress in query.recentProgress:
-        observed = progress.observedMetrics.get(METRICS)
-        if observed is not None and progress.numInputRows:
-            found.append({"batch_id": progress.batchId, **observed.asDict()})
-    return found
+def batch_metrics(spark: SparkSession, metrics: str) -> DataFrame:
+    """Counters of all batches so far: batch_id, rows_in, malformed, protocol_zero."""
+    schema = "rows_in bigint, malformed bigint, protocol_zero bigint, batch_id bigint"
+    if not path_exists(spark, metrics):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(metrics)

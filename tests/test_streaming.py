@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowrill.schema import CANONICAL_COLUMNS, short_name
 from flowrill.sources.day_store import write_analysed
-from flowrill.sources.tail import CaptureTailReader, tail_captures
+from flowrill.sources.tail import FORGOTTEN, CaptureTailReader, tail_captures
 from flowrill.streaming import live, refresh, score_job
 from flowrill.streaming.ingest import parse_lines, typed_lines
 
@@ -44,7 +45,8 @@ class Job:
     def run(self, scorer=score_job.linear_scorer, **options):
         query = score_job.start_scoring(
             self.spark, str(self.folder), str(self.base / "analysed"), str(self.base / "bad"),
-            str(self.base / "checkpoint"), scorer, trigger=NOW, **options,
+            str(self.base / "checkpoint"), scorer, trigger=NOW,
+            metrics=str(self.base / "metrics"), **options,
         )
         query.awaitTermination()
         return query
@@ -73,7 +75,7 @@ def test_three_appends_equal_one_batch(spark, job):
     whole = parse_lines(
         spark.read.text(str(job.file())).where(F.col("value") != HEADER)
         .select(F.lit("f").alias("source_file"), F.lit(0).alias("position"),
-                F.lit(HEADER).alias("header"), F.col("value").alias("line"))
+                F.lit(True).alias("header_ok"), F.col("value").alias("line"))
     )
     batch = score_job.linear_scorer(typed_lines(whole)).select("flow_id", "label").collect()
     stream = job.scored().select("flow_id", "label").collect()
@@ -91,13 +93,21 @@ def test_nothing_new_changes_nothing(job):
 def test_bad_lines_are_kept_apart_and_do_not_stop_the_job(spark, job):
     job.append(HEADER + "\n" + row(1) + "\nshort,line\n" + row(2) + ",extra\n" + row(3, rate="Infinity") + "\n")
     job.append(row(4, rate="abc") + "\n" + row(5) + "\n")
-    query = job.run()
+    job.run()
     assert job.ids() == ["flow-1", "flow-5"]
     bad = spark.read.parquet(str(job.base / "bad"))
     assert {r["line"][:10] for r in bad.collect()} == {"short,line", row(2)[:10]}
-    metrics = score_job.batch_metrics(query)
-    assert sum(m["rows_in"] for m in metrics) == 6
-    assert sum(m["malformed"] for m in metrics) == 2
+    (metrics,) = score_job.batch_metrics(spark, str(job.base / "metrics")).collect()
+    assert (metrics.rows_in, metrics.malformed, metrics.protocol_zero) == (6, 2, 0)
+
+
+def test_metrics_keep_every_batch(spark, job):
+    assert score_job.batch_metrics(spark, str(job.base / "metrics")).count() == 0
+    for i in range(4):
+        job.append((HEADER + "\n" if not i else "") + row(i, protocol=0) + "\n")
+        job.run()
+    rows = score_job.batch_metrics(spark, str(job.base / "metrics")).collect()
+    assert sorted((r.batch_id, r.rows_in, r.protocol_zero) for r in rows) == [(i, 1, 1) for i in range(4)]
 
 
 def test_recreated_and_shrunk_files_start_over(job):
@@ -143,7 +153,70 @@ def test_old_days_leave_the_offset(tmp_path):
     for day in ("2024-01-01", "2024-01-15"):
         (tmp_path / f"{day}_Flow.csv").write_text("h\n1\n")
     reader = CaptureTailReader({"path": str(tmp_path), "maxagedays": "3", "today": "2024-01-16"})
-    assert list(reader.latestOffset()) == ["2024-01-15_Flow.csv"]
+    assert set(reader.latestOffset()) == {"2024-01-15_Flow.csv", FORGOTTEN}
+
+
+def test_unread_rows_are_not_forgotten(tmp_path):
+    def reader(today):
+        return CaptureTailReader({"path": str(tmp_path), "maxagedays": "3", "today": today})
+
+    old = tmp_path / "2024-01-15_Flow.csv"
+    old.write_text("h\n1\n")
+    start = reader("2024-01-16").latestOffset()
+    end = reader("2024-01-30").latestOffset()
+    assert reader("2024-01-30").partitions(start, end) == []
+    old.write_text("h\n1\n2\n")  # grew while the job was down
+    with pytest.raises(ValueError, match="2024-01-15"):
+        reader("2024-01-30").partitions(start, end)
+    old.write_text("h\n1\n")
+    (tmp_path / "2024-01-20_Flow.csv").write_text("h\n1\n")  # came and went while it was down
+    with pytest.raises(ValueError, match="2024-01-20"):
+        reader("2024-01-30").partitions(start, end)
+
+
+@pytest.mark.parametrize("parts", [0, 1, 4])
+def test_streams_of_tables(spark, sf_dir, tmp_path, parts):
+    """A table as one file or as a folder, each file a batch of its own: no row is late."""
+    from flowrill.operators import anomaly, traffic
+    from flowrill.sources.driver_tables import flow_stream, flows_from_tables
+
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").write.parquet(str(tmp_path / "orders.parquet"))
+    if parts:
+        table.repartition(parts).write.parquet(str(tmp_path / "lineitem.parquet"))
+        folder = str(tmp_path)
+    else:
+        folder = sf_dir
+    for view, key, batch in (
+        (live.live_trend, "ts", traffic.traffic_trend),
+        (live.live_pattern_totals, "ip", lambda f: live.live_pattern_totals(f)),
+    ):
+        updates = view(flow_stream(spark, folder))
+        out = str(tmp_path / f"out-{key}")
+        assert live.read_updates(spark, out, updates).count() == 0
+        live.start_updates(updates, out, str(tmp_path / f"cp-{key}"), NOW).awaitTermination()
+        got = live.current_state(live.read_updates(spark, out, updates), key)
+        rounded = lambda df: sorted(str([round(v, 4) if isinstance(v, float) else v for v in r]) for r in df.collect())
+        assert rounded(got) == rounded(batch(flows_from_tables(spark, folder)))
+
+
+def test_dropped_rows_are_counted(spark, make_flows, tmp_path):
+    listener = live.DroppedRows()
+    spark.streams.addListener(listener)
+    try:
+        schema = make_flows({}).schema
+        folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+        for day in ("2024-01-15", "2024-01-20", "2024-01-10"):
+            make_flows({"ts": f"{day}T10:00:00"}).write.mode("append").parquet(folder)
+            stream = live.live_trend(spark.readStream.schema(schema).parquet(folder), late="1 hour")
+            live.start_updates(stream, out, str(tmp_path / "cp"), NOW).awaitTermination()
+        for _ in range(100):
+            if sum(listener.rows.values()) == 1:
+                break
+            time.sleep(0.1)
+        assert list(listener.rows.values()) == [1]
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def test_long_running_trigger(spark, tmp_path):
@@ -168,6 +241,17 @@ def test_long_running_trigger(spark, tmp_path):
     assert sorted(r["line"] for r in lines.collect()) == ["1", "2", "3"]
 
 
+def test_days_of_a_store_are_pruned(spark, make_flows, tmp_path):
+    from flowrill.sources.day_store import flows_for_date
+
+    path = str(tmp_path / "store")
+    write_analysed(make_flows({"ts": "2024-01-15T10:00:00"}, {"ts": "2024-01-16T10:00:00"}), path)
+    day = flows_for_date(spark.read.parquet(path), "2024-01-15")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "flow_date" in filters and day.count() == 1
+
+
 def test_repeated_batch_is_written_once(spark, make_flows, tmp_path):
     flows = make_flows({}, {"ts": "2024-01-16T00:00:00"})
     for _ in range(2):

@@ -68,6 +68,28 @@ def test_combining_by_name(spark, tmp_path):
     ]
 
 
+def test_repeated_header_names_are_numbered(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id, x ,x,"y\nz",x\n1,2,3,4,5\n')
+    (tmp_path / "b.csv").write_text("id,x,x.1\n6,7,8\n")
+    assert captures.unique_names(["a", "b", "a", "a"]) == ("a", "b", "a.1", "a.2")
+    columns = captures._header(*captures._list_csv(str(tmp_path))[:1], str(tmp_path / "a.csv"), "utf-8")
+    assert columns == ("id", "x", "x.1", "y\nz", "x.2")
+    (tmp_path / "a.csv").write_text("id, x ,x,y\n1,2,3,4\n")
+    got = captures.combine_captures(spark, str(tmp_path))
+    assert sorted(map(str, got.select("id", "x", "`x.1`", "y").collect())) == sorted(
+        map(str, spark.createDataFrame([("1", "2", "3", "4"), ("6", "7", "8", None)], "id string, x string, `x.1` string, y string").collect())
+    )
+
+
+def test_classes_do_not_shuffle_the_flows(spark, make_flows):
+    """Unnamed classes are looked up, and then the rows stay where they are."""
+    flows = make_flows(*[{"label": "DoS" if i % 3 else "BENIGN"} for i in range(30)])
+    for df in (sampling.split_stratified(flows), clean.encode_label(flows), sampling.undersample_to_min(flows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    assert {r.label: r.label_code for r in clean.encode_label(flows).collect()} == {"BENIGN": 0, "DoS": 1}
+
+
 def test_coercion_of_dirty_numbers(spark):
     df = spark.createDataFrame(
         [("5.7", "Infinity"), ("3.0", "NaN"), ("", "abc"), (" 8 ", "1e3"), ("NaN", ""), ("9e30", "-2")],
