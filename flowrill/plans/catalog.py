@@ -395,6 +395,29 @@ def _(flows, spark, sf_dir):
     return rows.withColumn("parsed", text.parse_flow_timestamp("shown"))
 
 
+@query(
+    "time_text",
+    """select flow_id, case when syn = 1 then 'not a time' else strftime(ts, '%Y-%m-%d %H:%M:%S') end as shown
+       from flows""",
+)
+def _(flows, spark, sf_dir):
+    raw = F.when(F.col("syn") == 1, "not a time").otherwise(F.col("timestamp_raw"))
+    return flows.select("flow_id", text.time_text(raw).alias("shown"))
+
+
+@query(
+    "protocol_text_summary",
+    """select flow_id, case when protocol in (1, 6, 17) then
+           case protocol when 1 then 'ICMP' when 6 then 'TCP' else 'UDP' end else 'OTHER' end as bucket
+       from flows""",
+)
+def _(flows, spark, sf_dir):
+    names = F.when(F.col("protocol") == 6, "tcp").when(F.col("protocol") == 17, "Udp").otherwise("igmp")
+    shown = F.when(F.col("syn") % 2 == 0, F.concat(F.lit(" "), F.col("protocol").cast("string")))
+    by_name = F.when(F.col("protocol") == 1, "icmp").otherwise(names)
+    return flows.select("flow_id", text.protocol_text_summary(F.coalesce(shown, by_name)).alias("bucket"))
+
+
 @query("is_attack", f"select flow_id, {ATTACK} as is_attack from flows")
 def _(flows, spark, sf_dir):
     return flows.select("flow_id", text.is_attack().alias("is_attack"))
@@ -640,7 +663,7 @@ def _(flows, spark, sf_dir):
     """select src_ip as ip, round(sum(active_mean * pow(2.0, -r)), 6) as active_mean,
          round(sum(idle_mean * pow(2.0, -r)), 6) as idle_mean
        from (select *, row_number() over (partition by src_ip order by ts desc, flow_id desc) as r
-             from flows) where r <= 1074 group by src_ip""",
+             from flows) group by src_ip""",
 )
 def _(flows, spark, sf_dir):
     return rounded(hosts.host_activity_ema(flows), 6, "active_mean", "idle_mean")
@@ -1329,13 +1352,12 @@ def _(flows, spark, sf_dir):
     return test.select("flow_id", "label_code").join(predicted, "flow_id")
 
 
-_COMPARED = ["Logistic Regression", "Decision Tree", "Naive Bayes"]
-
-
 def _compared(flows: DataFrame) -> DataFrame:
+    """All models of the comparison, each saved."""
     rows = _training_set(flows)
     return classifiers.compare_models(
-        rows.where("split = 'train'"), rows.where("split = 'test'"), _COMPARED
+        rows.where("split = 'train'"), rows.where("split = 'test'"),
+        save_dir=shared_dir(flows.sparkSession, "models"),
     )
 
 
@@ -1486,7 +1508,7 @@ def _(flows, spark, sf_dir):
 
 @query(
     "stream_refresh",
-    f"""select ts as updated_day, count(*) as total_connections, count(*) filter (where {ATTACK}) as attack_count
+    f"""select ts as updated_day, true as updated, count(*) as total_connections, count(*) filter (where {ATTACK}) as attack_count
         from flows where flow_date = date '{DAY}' group by ts""",
 )
 def _(flows, spark, sf_dir):
@@ -1500,7 +1522,9 @@ def _(flows, spark, sf_dir):
     )
     job.awaitTermination()
     return refresh.read_view(spark, f"{base}/views", day, "network_summary").select(
-        F.lit(DAY).cast("timestamp_ntz").alias("updated_day"), "total_connections", "attack_count"
+        F.lit(DAY).cast("timestamp_ntz").alias("updated_day"),
+        (F.lit(refresh.latest_version(spark, f"{base}/views", day)[1]) <= F.current_timestamp()).alias("updated"),
+        "total_connections", "attack_count",
     )
 
 

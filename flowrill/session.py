@@ -64,6 +64,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it exists, in the file system Spark resolves it to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give the session a checkpoint folder when the cluster has not named one."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -163,7 +163,7 @@ def test_halving_mean_equals_the_recurrence_over_many_partitions(make_flows, spa
     mean = 0.0
     for v in values:
         mean = (mean + v) / 2
-    found = {r["ip"]: r for r in rows(hosts.host_activity_ema(flows, salts=4))}
+    found = {r["ip"]: r for r in rows(hosts.host_activity_ema(flows, "minute"))}
     assert math.isclose(found["1.1.1.1"]["active_mean"], mean, rel_tol=1e-12)
     assert found["other"]["active_mean"] == 4.0
 
@@ -270,9 +270,16 @@ def test_day_snapshot_offers_every_view(make_flows):
     assert counts["attacks"] == 1
 
 
-def test_hot_source_is_pruned_before_every_shuffle(make_flows):
-    plan = hosts.host_activity_ema(make_flows({}))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 4
+def test_halving_mean_counts_every_flow(make_flows):
+    """Old values count however many newer ones there are, as far as doubles go."""
+    start = "2024-01-15T%02d:%02d:%02d"
+    times = [start % (i // 3600, i // 60 % 60, i % 60) for i in range(1060)]
+    flows = make_flows(*[{"active_mean": 0.0 if i else 1e300, "ts": t} for i, t in enumerate(times)])
+    for unit in ("minute", "hour", "day"):
+        assert math.isclose(rows(hosts.host_activity_ema(flows, unit))[0]["active_mean"], 1e300 * 2.0**-1060, rel_tol=1e-9)
+
+
+def test_hot_source_is_pruned_before_the_shuffle(make_flows):
     plan = hosts.host_top_destinations(make_flows({}))._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and plan.count("WindowGroupLimit") == 2
 
