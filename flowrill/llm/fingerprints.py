@@ -36,14 +36,15 @@ _RESULT = (
 
 
 def paragraph_digests(text: str) -> np.ndarray:
-    """A digest for each paragraph; repeated ones differ by their occurrence number."""
+    """The distinct digests of the paragraphs; of a repeated one the occurrence number is hashed
+    too. Peeling needs each digest at most once in a table."""
     seen: dict[str, int] = {}
     digests = []
     for paragraph in _PARAGRAPH.findall(text):
         occurrence = seen.get(paragraph, 0)
         seen[paragraph] = occurrence + 1
-        digests.append(xxhash.xxh3_64_intdigest(paragraph, occurrence))
-    return np.array(digests, np.uint64)
+        digests.append(xxhash.xxh3_64_intdigest(f"{occurrence}\n{paragraph}" if occurrence else paragraph))
+    return np.unique(np.array(digests, np.uint64))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -94,9 +95,9 @@ class Tables:
         """
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = self.cells // 3
-        moved = True
-        while moved:
-            moved = False
+        moved, rounds = True, 0
+        while moved and rounds < 1000:  # a false check could put digests to and fro
+            moved, rounds = False, rounds + 1
             for third in range(3):
                 counts = self.count.reshape(self.n, self.cells)[:, third * size : (third + 1) * size]
                 row, col = np.nonzero(np.abs(counts) == 1)
@@ -144,7 +145,7 @@ def differences(
     only_left, only_right = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
     waiting = np.arange(len(left))
     while waiting.size:
-        step = max(1, 4_000_000 // cells)  # bounds the memory of large tables
+        step = max(1, 300_000 // cells)  # bounds the memory of large tables
         failed = []
         for first in range(0, waiting.size, step):
             own = waiting[first : first + step]
@@ -216,9 +217,13 @@ def with_following(docs: DataFrame, n_ranges: int) -> DataFrame:
     )
 
 
-def fingerprint_documents(docs: DataFrame, chunk: int = 256) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, chunk: int = 128, chunk_chars: int = 1_000_000) -> DataFrame:
     """Per row ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next`` for its text, its edited text and the next document's text."""
+    near_next`` for its text, its edited text and the next document's text.
+
+    Documents are sketched ``chunk`` at a time, fewer if they have ``chunk_chars`` characters: this
+    bounds a task's memory.
+    """
     spark = docs.sparkSession
     n_ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -254,7 +259,7 @@ def fingerprint_documents(docs: DataFrame, chunk: int = 256) -> DataFrame:
                     bucket, closed = where, False
                 if closed:
                     continue  # further rows of the next range
-                full = len(waiting) >= chunk or held >= 8_000_000
+                full = len(waiting) >= chunk or held >= chunk_chars
                 if waiting and (extra or full):
                     yield compute(waiting, text)
                     waiting, held = [], 0

@@ -52,6 +52,10 @@ def test_peeling_retries_with_larger_tables():
 def test_repeated_paragraphs_count():
     one, two = paragraph_digests("Same line.\n"), paragraph_digests("Same line.\nSame line.\n")
     assert len(set(two.tolist())) == 2 and one[0] in two
+    marks = "".join(f"{c}{m}" * 300 for c in "ab1" for m in "!.?\n")  # many short ones
+    digests = paragraph_digests(marks)
+    assert len(set(digests.tolist())) == len(digests) == 3600
+    assert differences([digests], [one]) == ([3600], [1])
 
 
 def test_odd_rows(messy, make_docs):
