@@ -13,10 +13,10 @@ make a frame of their own. An empty table gives no files and an empty index.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,99 +29,115 @@ _HEAD = "<IB"
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<i8"), ("n", "<i8")])
 _INDEX = "doc_id long, part int, file string, frame int, slot int, n_ids long"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+_MARKS = ".,;:!?"
+
+
+class Slots(dict):
+    """Numbers texts in the order they are first asked for; ``new`` lists those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        slot = self[text] = len(self)
+        self.new.append(text)
+        return slot
 
 
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, each distinct chunk between blanks encoded once.
 
-    Valid for tokenizers that drop white space and let no token span it: the ids of a text are then
-    the ids of its chunks one after the other. Up to ``limit`` chunks are remembered; beyond it the
-    memory starts anew, which changes no result.
+    Valid for byte-level tokenizers that lower-case, cut words from marks, drop white space and let
+    no token span it: the ids of a text are then the ids of its chunks one after the other. More than
+    ``limit`` chunks are not kept from one block of texts to the next; that changes no result.
     """
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = Slots()
         self.pieces: dict[str, list[int]] = {}
         self.starts = np.zeros(1024, np.int64)
         self.counts = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a run of a-z, which normalising and pre-tokenising leave as it is."""
-        found = self.pieces.get(word)
-        if found is None:
-            found = self.pieces[word] = [t.id for t in self.model.tokenize(word)]
+    def _piece(self, text: str) -> list[int]:
+        """Ids of a word or of a run of marks. What is only letters after normalising is one
+        pre-token, so the model may take its bytes directly."""
+        plain = text if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        if not plain.isalpha():
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            mapped = plain if plain.isascii() else self.as_bytes.pre_tokenize_str(plain)[0][0]
+            found = [t.id for t in self.model.tokenize(mapped)]
+        self.pieces[text] = found
         return found
 
-    def _marks(self, marks: str) -> list[int]:
-        found = self.pieces.get(marks)
+    def _chunk(self, chunk: str) -> list[int]:
+        """Ids of a chunk: of its word and the marks behind it if it is of that form."""
+        word = chunk.rstrip(_MARKS)
+        known = self.pieces
+        if not word.isalpha():
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if word.isascii():
+            word = word.lower()
+        found = known.get(word)
         if found is None:
-            found = self.tokenizer.encode(marks, add_special_tokens=False).ids
-            self.pieces[marks] = found
+            found = self._piece(word)
+        if len(word) < len(chunk):
+            marks = chunk[len(word) :]
+            behind = known.get(marks)
+            found = found + (self._piece(marks) if behind is None else behind)
         return found
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks not met before and append them to the arrays."""
-        ids: list[list[int]] = []
-        hard = []
-        for chunk in chunks:
-            plain = _PLAIN.fullmatch(chunk)
-            if plain:
-                word, marks = plain.groups()
-                ids.append(self._word(word.lower()) + self._marks(marks) if marks else self._word(word.lower()))
-            else:
-                hard.append(len(ids))
-                ids.append([])
-        encoded = self.tokenizer.encode_batch([chunks[i] for i in hard], add_special_tokens=False)
-        for i, e in zip(hard, encoded):
-            ids[i] = e.ids
+    def _learn(self) -> None:
+        """Encode the chunks not met before and append them to the arrays."""
+        slots = self.slots
+        ids = [self._chunk(chunk) for chunk in slots.new]
+        first, end = len(slots) - len(ids), len(slots)
+        slots.new = []
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.slots) - len(chunks)
-        while len(self.starts) < first + len(chunks):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        total = int(counts.sum())
-        while len(self.ids) < self.used + total:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[first : first + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.counts[first : first + len(ids)] = counts
-        self.ids[self.used : self.used + total] = np.fromiter(
-            (i for each in ids for i in each), np.uint32, total
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+        self.starts, self.counts = _room(self.starts, end), _room(self.counts, end)
+        self.ids = _room(self.ids, self.used + flat.size)
+        self.starts[first:end] = self.used + np.cumsum(counts) - counts
+        self.counts[first:end] = counts
+        self.ids[self.used : self.used + flat.size] = flat
+        self.used += flat.size
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.slots) > self.limit:
+            self._clear()
+        chunks = [text.split(" ") for text in texts]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.fromiter(
+            map(self.slots.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum())
         )
-        self.used += total
-
-    def encode(self, text: str) -> np.ndarray:
-        chunks = text.split(" ")
-        slots = self.slots
-        at = np.fromiter((slots.get(c, -1) for c in chunks), np.int64, len(chunks))
-        if (missing := np.flatnonzero(at < 0)).size:
-            if len(slots) > self.limit:
-                self._clear()
-                return self.encode(text)
-            new = []
-            for i in missing:
-                chunk = chunks[i]
-                slot = slots.get(chunk)
-                if slot is None:
-                    slot = slots[chunk] = len(slots)
-                    new.append(chunk)
-                at[i] = slot
-            self._learn(new)
+        if self.slots.new:
+            self._learn()
         counts = self.counts[at]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
+        total = int(ends[-1]) if ends.size else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
+        return np.split(ids, ends[np.cumsum(sizes) - 1][:-1]) if texts else []
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with space for ``size`` numbers, doubled as often as needed."""
+    while len(array) < size:
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -134,6 +150,21 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts in blocks of about so many characters."""
+    for batch in batches:
+        doc_ids, texts, held = [], [], 0
+        for doc_id, scalar in zip(batch.column(0).to_pylist(), batch.column(1)):
+            doc_ids.append(doc_id)
+            texts.append(scalar.as_py() or "")
+            held += len(texts[-1])
+            if held >= chars:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
+        if texts:
+            yield doc_ids, texts
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, frame_bytes: int = 1 << 20
 ) -> DataFrame:
@@ -177,9 +208,9 @@ def write_token_files(
             entries, arrays, held = [], [], 0
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode.encode(text.as_py() or "").astype(kind)
+        for doc_ids, texts in _blocks(batches):
+            for doc_id, found in zip(doc_ids, encode.encode(texts)):
+                ids = found.astype(kind)
                 entries.append((doc_id or 0, doc_id is None, start, len(ids) + 1))
                 arrays += [ids, end]
                 start += len(ids) + 1

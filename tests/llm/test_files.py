@@ -61,12 +61,13 @@ def test_only_wanted_documents(spark, docs_table, documents, tmp_path):
 def test_chunks_are_encoded_as_the_library_does():
     texts = [
         "It's we'll they'd 'tis THE end...  x", "<|endoftext|> a<|startoftext|>b", "tabs\tand\nlines　and\x1cmore",
-        "Café ΌΣΟΣ ΑΣ İstanbul K ſ ﬁ", "漢字🙂👩‍👩‍👧 1234 a1b2 __x__ end.", "", " ", "word, word. Word! WORD?",
+        "Café ΌΣΟΣ ΑΣ İstanbul K ſ ﬁ", "漢字🙂👩‍👩‍👧 1234 a1b2 __x__ end.", "", " ", "word, word. Word! WORD? .,; !", "Éa. éa, Éa éa'll don't. ²x ª Ǆ",
     ]
     tokenizer = Tokenizer.from_file(TOKENIZER)
     for encoder in (ChunkEncoder(TOKENIZER), ChunkEncoder(TOKENIZER, limit=1)):
-        for text in texts * 2:
-            assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        for block in (texts, texts[3:], texts[:1], []):
+            expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in block]
+            assert [ids.tolist() for ids in encoder.encode(block)] == expected
 
 
 def test_token_files_of_odd_rows(messy, make_docs, tmp_path):
