@@ -7,11 +7,14 @@ four words is one shingle). Two texts are linked if their weighted Jaccard simil
 * Texts with equal shingles are one node, so copies are never paired.
 * Signatures are cut into bands; nodes that agree in a band share a bucket. With 32 bands of 6 a
   link at the threshold is missed with a probability of 6 in 100,000.
-* In a bucket some nodes are pivots and all others are compared with them, exactly. Nodes already
-  in one class are not compared. Then further nodes are pivots, eight times as many each round
-  and those with the most links first, until every pair that shares a bucket was compared or is in
-  one class. So no pair is left out, and a large group of near copies takes a few rounds of work
-  in proportion to its size.
+* In a bucket some nodes are pivots and all others are compared with them: first by the number of
+  equal coordinates (four bits of each), which at the threshold lies four deviations above what is
+  asked for, then exactly. Nodes already in one class are not compared. Then further nodes are
+  pivots, eight times as many each round and those with the most links first, until every pair
+  that shares a bucket was compared or is in one class. So no pair is left out, and a large group
+  of near copies, which mostly becomes one class at once, takes a few rounds.
+* Before the second round, nodes go of which more than a fifth occurs in no other class: they
+  cannot have a link any more.
 
 Texts without words (null, empty, only marks) are copies of each other. Equal ``doc_id`` are told
 apart by their texts; of fully repeated rows one stays. A null ``doc_id`` sorts last. An empty table
@@ -20,12 +23,14 @@ gives an empty result. Columns other than ``doc_id`` and ``text`` are ignored or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowrill.llm.dart_minhash import DartMinHash, mix
 from flowrill.llm.frames import discard, fresh, stored
@@ -37,7 +42,8 @@ FIRST_PIVOTS, MORE_PIVOTS = 8, 8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.arange(1, 65, dtype=np.uint64) * _GOLDEN
 _SKETCH = (
-    "rid long, doc_id long, text_hash long, copy_key binary, n long, bands array<long>, codes array<int>"
+    "rid long, doc_id long, text_hash long, copy_key binary, n long, bands array<long>, "
+    "signature array<long>, codes array<int>"
 )
 
 
@@ -68,30 +74,61 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(parts.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def packed_signature(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate. For every 64 coordinates there are four numbers, one for each
+    of the bits."""
+    padded = np.zeros(-(-len(signature) // 64) * 64, np.uint64)
+    padded[: len(signature)] = mix(signature)
+    places = np.arange(64, dtype=np.uint64)
+    planes = [
+        (((padded.reshape(-1, 64) >> np.uint64(bit)) & np.uint64(1)) << places).sum(axis=1, dtype=np.uint64)
+        for bit in range(4)
+    ]
+    return np.stack(planes, axis=1).ravel().view(np.int64)
+
+
+def unequal_coordinates(a: str, b: str, coordinates: int) -> Column:
+    """How many coordinates of two packed signatures differ."""
+    total = F.lit(0)
+    for first in range(0, -(-coordinates // 64) * 4, 4):
+        planes = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(first, first + 4)]
+        total = total + F.bit_count(reduce(Column.bitwiseOR, planes))
+    return total
+
+
+def least_equal(coordinates: int, similarity: float = 0.8, deviations: float = 4.0) -> int:
+    """Equal coordinates that a pair at the threshold has but for so many deviations."""
+    p = similarity + (1 - similarity) / 16  # a sixteenth of the others agree by chance
+    return math.floor(coordinates * p - deviations * math.sqrt(coordinates * p * (1 - p)))
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row its copy key, bands and occurrence codes; ``rid`` numbers the rows once stored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dart = DartMinHash(bands * rows)
         for batch in batches:
-            keys, sizes, all_bands, all_codes = [], [], [], []
+            keys, sizes, all_bands, all_signatures, all_codes = [], [], [], [], []
             for scalar in batch.column(3):
                 elements, counts = shingle_counts(scalar.as_py())
                 keys.append(xxhash.xxh3_128_digest(elements.tobytes() + counts.astype("<i8").tobytes()))
                 sizes.append(int(counts.sum()))
                 if not elements.size:
-                    all_bands.append([])
-                    all_codes.append([])
+                    for column in (all_bands, all_signatures, all_codes):
+                        column.append([])
                     continue
-                all_bands.append(band_hashes(dart.signature(elements, counts.astype(float)), bands, rows))
+                signature = dart.signature(elements, counts.astype(float))
+                all_bands.append(band_hashes(signature, bands, rows))
+                all_signatures.append(packed_signature(signature))
                 all_codes.append(occurrence_codes(elements, counts))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(3)],
                     pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-                    pa.array(all_bands, pa.list_(pa.int64())), pa.array(all_codes, pa.list_(pa.int32())),
+                    pa.array(all_bands, pa.list_(pa.int64())), pa.array(all_signatures, pa.list_(pa.int64())),
+                    pa.array(all_codes, pa.list_(pa.int32())),
                 ],
-                names=["rid", "doc_id", "text_hash", "copy_key", "n", "bands", "codes"],
+                names=["rid", "doc_id", "text_hash", "copy_key", "n", "bands", "signature", "codes"],
             )
 
     return docs.select(
@@ -100,8 +137,9 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     ).mapInArrow(sketch, _SKETCH)
 
 
-def components(links: DataFrame) -> tuple[DataFrame, str]:
-    """``node, comp`` for linked nodes, comp the smallest node connected; stored, with its path.
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Edges ``u > v`` to stars: one edge from each connected node to the smallest; stored, with
+    its path.
 
     Alternates large-star and small-star steps: every step hangs neighbours on the smallest node
     they know, edges only shrink, and minima are combined before the exchange.
@@ -110,15 +148,17 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     def smallest(edges: DataFrame) -> DataFrame:
         return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
-    def state(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def are_stars(edges: DataFrame) -> bool:
+        """Whether every node is either a centre or hangs on one node."""
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))))
+        roles = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("centre"))
+        return roles.where("out > 1 or (out = 1 and centre = 0)").isEmpty()
 
-    edges, path = stored(links.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "stars")
-    before = state(edges)
+    path = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         low = large.where("u > v")
         small = (
@@ -127,34 +167,56 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
             .where("u > v").distinct()
         )
         old, (edges, path) = path, stored(small, "stars")
-        discard(old)
-        now = state(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")), path
-        before = now
+        if old is not None:
+            discard(old)
+        if are_stars(edges):
+            return edges, path
+
+
+def in_open_bands(members: DataFrame) -> DataFrame:
+    """The members of bands that hold more than one component."""
+    is_open = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return members.join(is_open.select("band"), "band", "left_semi")
+
+
+def still_linkable(members: DataFrame, codes: DataFrame) -> DataFrame:
+    """The members whose codes occur, four fifths of them at least, also in other components.
+
+    A pair at the threshold shares four fifths of either text, so others have no link left.
+    """
+    nodes = members.select("node", "comp").distinct()
+    held = nodes.join(codes, "node").select("node", "comp", F.explode("codes").alias("code"))
+    spread = held.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    shared = held.join(spread.select("code"), "code").groupBy("node").agg(F.count("*").alias("shared"))
+    return members.join(shared, "node").where("5 * shared >= 4 * n").drop("shared")
 
 
-def _bucket_links(buckets: DataFrame, codes: DataFrame) -> tuple[DataFrame | None, list[str]]:
-    """Links ``a < b`` between nodes that share a bucket, complete up to connection.
+def bucket_components(buckets: DataFrame, codes: DataFrame, coordinates: int) -> tuple[DataFrame, str]:
+    """``node, comp`` for nodes linked to others that share a bucket with them; stored, with its
+    path. ``comp`` is the smallest node connected.
 
-    ``buckets`` has ``band, node, n``, ``codes`` has ``node, codes``.
+    ``buckets`` has ``band, band_no, node, n, signature, bands``, ``codes`` has ``node, codes``. A
+    pair is compared in the first band that both share, and in no other.
     """
-    spark = buckets.sparkSession
+    same = F.zip_with("bands", "pivot_bands", lambda a, b: a == b)
+    first_shared = F.array_position(same, F.lit(True)) == F.col("band_no") + 1
+    unequal = unequal_coordinates("signature", "pivot_signature", coordinates)
+    alike = unequal <= coordinates - least_equal(coordinates)
     members = buckets.withColumn("comp", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
-    links, paths, loose = None, [], []
+    links, stars, stars_path, loose = None, None, None, []
     n_pivots = FIRST_PIVOTS
     while True:
         order = [F.col("degree").desc(), F.xxhash64("node"), "node"]
         pivots = (
             members.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(*order)))
             .where(F.col("place") <= n_pivots)
-            .select("band", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
+            .select("band", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"), F.col("signature").alias("pivot_signature"), F.col("bands").alias("pivot_bands"))
         )
         pivots, pivots_path = stored(pivots, "pivots")
         loose.append(pivots_path)
         pairs = (
             members.join(pivots, "band")
-            .where("comp <> pivot_comp and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)")
+            .where("comp <> pivot_comp and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)").where(alike).where(first_shared)
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
             .distinct()
         )
@@ -167,33 +229,42 @@ def _bucket_links(buckets: DataFrame, codes: DataFrame) -> tuple[DataFrame | Non
             .select("a", "b")
         )
         new, path = stored(new, "links")
-        paths.append(path)
+        loose.append(path)
         links = new if links is None else links.union(new)
+        edges = new.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        if stars is None or not new.isEmpty():
+            old = stars_path
+            stars, stars_path = components(edges if stars is None else stars.union(edges))
+            if old:
+                discard(old)
+        comps = stars.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         rest, rest_path = stored(
             members.join(pivots.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti")
-            .select("band", "node", "n"),
+            .select("band", "band_no", "node", "n", "signature", "bands"),
             "members",
         )
         loose.append(rest_path)
         if rest.isEmpty():
             break
-        comps, comps_path = components(links)
-        loose.append(comps_path)
         degrees = (
             links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         )
         labelled = (
             rest.join(comps, "node", "left").join(degrees, "node", "left")
-            .select("band", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
+            .select("band", "band_no", "node", "n", "signature", "bands", F.coalesce("comp", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
         )
-        is_open = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        members, members_path = stored(labelled.join(is_open.select("band"), "band", "left_semi"), "members")
+        members, members_path = stored(in_open_bands(labelled), "members")
         loose.append(members_path)
         if members.isEmpty():
             break
+        if n_pivots == FIRST_PIVOTS:  # later rounds would find few more
+            members, members_path = stored(in_open_bands(still_linkable(members, codes)), "members")
+            loose.append(members_path)
+            if members.isEmpty():
+                break
         n_pivots *= MORE_PIVOTS
     discard(*loose)
-    return links, paths
+    return comps, stars_path
 
 
 def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -207,25 +278,24 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
         sketch.groupBy("copy_key").agg(F.min("rid").alias("first"), F.count("*").alias("copies"))
         .where("copies > 1").select("copy_key", "first")
     )
-    nodes, nodes_path = stored(
-        sketch.select("rid", "doc_id", "text_hash", "copy_key", "n", "bands")
+    nodes, _ = stored(
+        sketch.select("rid", "doc_id", "text_hash", "copy_key", "n", "bands", "signature")
         .join(copies, "copy_key", "left")
         .withColumn("node", F.coalesce("first", "rid"))
-        .select("rid", "doc_id", "text_hash", "node", "n", F.when(F.col("rid") == F.col("node"), F.col("bands")).alias("bands")),
+        .select("rid", "doc_id", "text_hash", "node", "n", *[F.when(F.col("rid") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "signature")]),
         "nodes",
     )
-    banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
+    banded = nodes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n")
     shared = banded.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1").select("band")
-    buckets, buckets_path = stored(banded.join(shared, "band"), "buckets")
+    signatures = nodes.where("rid = node").select("node", "signature", "bands")
+    buckets, buckets_path = stored(banded.join(shared, "band").join(signatures, "node"), "buckets")
     candidates = buckets.select("node").distinct()
     codes, codes_path = stored(
         sketch.select(F.col("rid").alias("node"), "codes").join(candidates, "node", "left_semi"), "codes"
     )
     discard(sketch_path)
-    links, link_paths = _bucket_links(buckets, codes)
+    comps, _ = bucket_components(buckets, codes, bands * rows)
     discard(buckets_path, codes_path)
-    comps, comps_path = components(links)
-    discard(*link_paths)
 
     own = F.coalesce("comp", "node")
     placed = nodes.join(comps, "node", "left").select("rid", "doc_id", "text_hash", own.alias("class"))
