@@ -287,7 +287,9 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     )
     banded = nodes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n")
     shared = banded.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1").select("band")
-    signatures = nodes.where("rid = node").select("node", "signature", "bands")
+    # 31 bits of a band tell bands of the same number apart well enough; they travel with the members.
+    short = F.transform("bands", lambda band: band.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
+    signatures = nodes.where("rid = node").select("node", "signature", short)
     buckets, buckets_path = stored(banded.join(shared, "band").join(signatures, "node"), "buckets")
     candidates = buckets.select("node").distinct()
     codes, codes_path = stored(
