@@ -113,14 +113,52 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, d
     return counts.pop("", 0), counts
 
 
-def _starts(template: Template, anchors: list[str]) -> Column:
-    """Where the template would begin for each posting of its rare words found in the file."""
+def _literals(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values))
 
-    def starts(word: str, at: int) -> Column:
-        own = F.filter("hits", lambda h: h["word"] == F.lit(word))
-        return F.transform(own, lambda h: h["at"] - F.lit(at))
 
-    return reduce(F.concat, [starts(w, at) for at, w in enumerate(template.words) if w in anchors])
+def _anchors(template: Template, ids: dict[str, int], n: int) -> Column:
+    """The ``n`` rarest of the template's words that the file holds; ids count up from the rarest."""
+    own = sorted({ids[w] for w in template.words})
+    return F.slice(F.array_intersect(_literals(own), "present"), 1, n)
+
+
+def _postings(template: Template, ids: dict[str, int], anchors: str) -> Column:
+    """Sorted numbers of (start, word): where the template would begin for each posting of an anchor.
+
+    Files that lack a word of a key phrase, or hold too few anchors to agree, have none.
+    """
+    at = {}
+    for place, word in enumerate(template.words):
+        at.setdefault(ids[word], []).append(place)
+    places = F.create_map(*[c for i, own in at.items() for c in (F.lit(i), _literals(own))])
+    keys = sorted({ids[w] for key in template.keys for w in key.split()})
+
+    def numbers(hit: Column) -> Column:
+        start = lambda place: (hit["at"] - place).cast("long")
+        return F.transform(F.element_at(places, hit["id"]), lambda p: F.shiftleft(start(p), 32) + hit["id"])
+
+    possible = (F.size(F.array_except(_literals(keys), "present")) == 0) & (F.size(anchors) >= _needed(template))
+    own = F.filter("hits", lambda h: F.array_contains(anchors, h["id"]))
+    return F.when(possible, F.sort_array(F.flatten(F.transform(own, numbers)))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
+def _needed(template: Template) -> int:
+    """How many different words must agree on a start."""
+    return min(2, len(set(template.words)))
+
+
+def _agreed(template: Template, postings: str) -> Column:
+    """Starts on which enough different words agree: in the sorted numbers they are neighbours."""
+
+    def agrees(number: Column, i: Column) -> Column:
+        after = F.get(postings, i + 1)
+        return (F.shiftright(after, 32) == F.shiftright(number, 32)) & (after != number)
+
+    numbers = F.filter(postings, agrees) if _needed(template) > 1 else F.col(postings)
+    return F.array_distinct(F.transform(numbers, lambda number: F.shiftright(number, 32).cast("int")))
 
 
 def _stands(start: Column, at: int, phrase: list[str]) -> Column:
@@ -132,16 +170,22 @@ def _stands(start: Column, at: int, phrase: list[str]) -> Column:
     )
 
 
-def _base_places(template: Template, anchors: list[str]) -> Column:
-    """Every place where the phrase stands, with its label."""
-    places = F.filter(_starts(template, anchors), lambda s: _stands(s, 0, template.words))
+def _base_places(template: Template, ids: dict[str, int]) -> Column:
+    """Every place where the phrase stands, by its rarest word, with its label."""
+    rarest = min(template.words, key=ids.get)
+    hits = F.filter("hits", lambda h: h["id"] == F.lit(ids[rarest]))
+
+    def starts(at: int) -> Column:
+        return F.transform(hits, lambda h: h["at"] - F.lit(at))
+
+    every = reduce(F.concat, [starts(at) for at, word in enumerate(template.words) if word == rarest])
+    places = F.filter(every, lambda s: _stands(s, 0, template.words))
     return F.transform(places, lambda s: F.struct(s.cast("long").alias("at"), F.lit(template.label).alias("label")))
 
 
-def _best_share(template: Template, starts: str, idf: dict[str, float]) -> Column:
+def _best_share(template: Template, agreed: Column, idf: dict[str, float]) -> Column:
     """Largest share of the template's weight in its place over the verified alignments, else 0."""
     weight = sum(idf[w] for w in template.words)
-    needed = min(2, len(set(template.words)))
 
     def share(start: Column) -> Column:
         parts = [
@@ -153,9 +197,6 @@ def _best_share(template: Template, starts: str, idf: dict[str, float]) -> Colum
     def verified(start: Column) -> Column:
         return reduce(Column.__and__, [_stands(start, at, key) for at, key in template.key_places()])
 
-    agreed = F.filter(
-        F.array_distinct(starts), lambda s: F.size(F.filter(starts, lambda other: other == s)) >= needed
-    )
     return F.coalesce(F.array_max(F.transform(F.filter(agreed, verified), share)), F.lit(0.0))
 
 
@@ -165,8 +206,8 @@ def scan_licenses(
 ) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    ``n_rare`` rare words of each template are looked up in files; the template's alignment needs
-    two of them in agreement and all its key phrases. ``score`` is the largest share of a found
+    Of each template, the ``n_rare`` rarest words that the file holds are looked up in it; the
+    template's alignment needs two of them in agreement and all its key phrases. ``score`` is the largest share of a found
     template's weight (inverse document frequencies of its words) that stands in its place, 1 for a
     base phrase, 0 if nothing is found.
     """
@@ -175,28 +216,34 @@ def scan_licenses(
     n_docs, frequency = document_frequencies(docs.select("text"), vocabulary)
     idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1e-9 for w in vocabulary}
 
-    def rarest(template: Template, n: int) -> list[str]:
-        return sorted(set(template.words), key=lambda w: (-idf[w], w))[:n]
-
-    anchors = {t: rarest(t, 1) for t in base} | {t: rarest(t, n_rare) for t in templates}
-    wanted = sorted({w for words in anchors.values() for w in words})
+    ids = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)), start=1)}
+    by_id = F.array(*map(F.lit, ids))
 
     found = docs.select("doc_id", word_array(F.col("text")).alias("w")).withColumn(
         "hits",
         F.filter(
             F.transform("w", lambda word, i: F.struct(i.alias("at"), word.alias("word"))),
-            lambda h: h["word"].isin(wanted),
+            lambda h: h["word"].isin(vocabulary),
+        ),
+    )
+    found = found.withColumn(
+        "hits",
+        F.transform(
+            "hits",
+            lambda h: F.struct(h["at"].alias("at"), F.array_position(by_id, h["word"]).cast("int").alias("id")),
         ),
     )
-    found = found.withColumn("base", reduce(F.concat, [_base_places(t, anchors[t]) for t in base]))
+    found = found.withColumn("present", F.array_distinct(F.transform("hits", lambda h: h["id"])))
+    found = found.withColumn("base", reduce(F.concat, [_base_places(t, ids) for t in base]))
 
     columns = []
     for number, template in enumerate(templates):
-        starts, share = f"starts{number}", f"share{number}"
+        anchors, postings, share = f"anchors{number}", f"postings{number}", f"share{number}"
         columns.append((template.label, share))
         found = (
-            found.withColumn(starts, _starts(template, anchors[template]))
-            .withColumn(share, _best_share(template, starts, idf)).drop(starts)
+            found.withColumn(anchors, _anchors(template, ids, n_rare))
+            .withColumn(postings, _postings(template, ids, anchors))
+            .withColumn(share, _best_share(template, _agreed(template, postings), idf)).drop(anchors, postings)
         )
 
     own = F.filter(

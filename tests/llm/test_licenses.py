@@ -53,3 +53,27 @@ def test_odd_rows(messy, make_docs):
     got = scan_licenses(messy).collect()
     check(got, [(r.doc_id, r.text) for r in messy.collect()])
     assert scan_licenses(make_docs()).count() == 0
+
+
+def test_anchors_are_words_the_file_holds(make_docs):
+    """Notices of little more than the key phrases: most template words occur in no document."""
+    rows = [
+        (1, "see the Apache License, Version 2.0 for details"),
+        (2, "redistribution and use in source and binary forms is fine if following conditions are met"),  # not in place
+        (3, "Covered by the Mozilla Public License"),
+        (4, "mozilla, public and license; apache 2.0 version license"),
+        (5, "the of is this " * 5000 + "mozilla public license"),
+        (6, "license version 2 0 apache"),
+        (7, "License Version 2.0 the Apache License Version 2.0"),  # cut at the beginning
+        *[(i, "the of is this") for i in range(8, 14)],  # common words
+    ]
+    got = {r.doc_id: r for r in scan_licenses(make_docs(*rows)).collect()}
+    check(got.values(), rows)
+    assert [got[i].labels for i in range(1, 8)] == ["apache", "", "mpl", "", "mpl", "", "apache"]
+    assert 0 < got[3].score < 1 and got[4].score == 0
+
+
+def test_agreement_needs_different_words(make_docs):
+    template = (Template("own", "alpha x alpha beta gamma", ("alpha",)),)
+    got = scan_licenses(make_docs((1, "alpha y alpha"), (2, "alpha y alpha beta")), {"u v": "uv"}, template)
+    assert {r.doc_id: r.labels for r in got.collect()} == {1: "", 2: "own"}
