@@ -38,13 +38,13 @@ def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """The frame written to a new table in the shared folder and read again; and the table's path.
 
     Cuts lineage: what a lost executor held is read again, not computed again.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

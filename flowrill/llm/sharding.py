@@ -18,8 +18,8 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from flowrill.llm.frames import packed, unpacked
-from flowrill.session import shared_dir
+from flowrill.llm.frames import packed, stored, unpacked
+from flowrill.session import delete_path
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -92,7 +92,7 @@ def shuffle_into_shards(
     ``n_blocks`` and ``n_cells`` (parts of a shard that are permuted apart, in random proportions)
     bound what one task sorts; raise them with the table. The matrix has ``n_blocks x n_shards``
     numbers, the only data that passes the driver. Rows are stored once with their random keys, so
-    a lost task finds the same blocks again.
+    a lost task finds the same blocks again; they are deleted once dealt out.
     """
     spark = docs.sparkSession
     position = F.monotonically_increasing_id()
@@ -101,9 +101,7 @@ def shuffle_into_shards(
         F.pmod(F.xxhash64(F.lit(seed), position), F.lit(n_blocks)).cast("int").alias("block"),
         F.xxhash64(F.lit(seed + 1), position).alias("key"),
     )
-    path = shared_dir(spark, "blocks")
-    drawn.write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows, blocks_path = stored(drawn, "blocks", "zstd")
 
     counts = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
     blocks = sorted(counts)
@@ -126,9 +124,8 @@ def shuffle_into_shards(
             F.xxhash64(F.lit(seed + 3), "key").alias("key"),
         )
     )
-    path = shared_dir(spark, "dealt")
-    dealt.write.parquet(path)
-    dealt = spark.read.parquet(path)
+    dealt, _ = stored(dealt, "dealt", "zstd")
+    delete_path(spark, blocks_path)  # whole rows, now stored as dealt
 
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

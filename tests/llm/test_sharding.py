@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from flowrill.llm import queries
 from flowrill.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 
 
@@ -58,3 +61,18 @@ def test_odd_rows(messy, make_docs):
     rows = got.collect()
     assert len(rows) == messy.count() and all(r.slot == 0 for r in rows)
     assert shuffle_into_shards(make_docs(), 16).count() == 0
+
+
+def test_query_deals_out_whole_texts(spark, sf_dir, documents, monkeypatch):
+    """What the query says of a text is taken from the text that came through the exchange."""
+    seen = []
+
+    def marked(docs, *args):
+        seen.append(shuffle_into_shards(docs, *args))
+        return seen[0].withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(queries, "shuffle_into_shards", marked)
+    rows = queries.op5_shard(spark, sf_dir).collect()
+    expected = Counter((i, len(f"{t}!".encode()) + 1, zlib.crc32(f"{t}!".encode())) for i, t in documents)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == expected
+    assert sorted((r.doc_id, r.text) for r in seen[0].collect()) == sorted(documents)
