@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowrill.llm.decontaminate import contamination
 from flowrill.llm.fingerprints import fingerprint_documents
+from flowrill.llm.frames import stored
 from flowrill.llm.licenses import scan_licenses
 from flowrill.llm.mixing import replicate
 from flowrill.llm.near_dups import near_classes
@@ -96,7 +97,15 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """The columns of the SQL counterpart, read back from the mixed corpus of whole documents."""
+    mixed, _ = stored(replicate(_table(spark, sf_dir, "documents")), "mixed", "zstd")
+    return mixed.select("doc_id", "source", "copy", "order_key").orderBy("order_key")
+
+
+@query
+def op10_mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus itself, texts and all other columns."""
+    return replicate(_table(spark, sf_dir, "documents"))
 
 
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+from flowrill.llm import frames, queries
 from flowrill.llm.mixing import poisson_steps, replicate, source_rates
 
 
@@ -46,3 +47,22 @@ def test_odd_rows(messy, make_docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert replicate(make_docs()).count() == 0
     assert replicate(messy, {"other": 1.0}).count() == 0
+
+
+def test_queries_mix_whole_documents(spark, sf_dir, docs_table, documents, monkeypatch):
+    """The narrow query stores a corpus with texts; the other one returns it."""
+    paths, text = [], dict(documents)
+
+    def watched(*args):
+        out = frames.stored(*args)
+        paths.append(out[1])
+        return out
+
+    monkeypatch.setattr(queries, "stored", watched)
+    narrow = queries.op10_mix_sources(spark, sf_dir).collect()
+    assert [r.order_key for r in narrow] == sorted(r.order_key for r in narrow)
+    for whole in (spark.read.parquet(paths[0]), queries.op10_mixed_texts(spark, sf_dir)):
+        assert whole.columns == [*docs_table.columns, "copy", "order_key"]
+        rows = whole.collect()
+        assert all(r.text == text[r.doc_id] for r in rows)
+        assert Counter((r.doc_id, r.source, r.copy, r.order_key) for r in rows) == Counter(map(tuple, narrow))
