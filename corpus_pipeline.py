@@ -7,9 +7,10 @@ are stored as Parquet in the shared folder, and the next one reads that table.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowrill.llm.decontaminate import drop_contaminated
+from flowrill.llm.frames import fresh
 from flowrill.llm.mixing import replicate
 from flowrill.llm.near_dups import drop_near_copies
 from flowrill.llm.quality import keep_good
@@ -34,7 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or thinned to the square root of their shares, and shuffled."""
-    return replicate(docs).select(*docs.columns)
+    mixed = replicate(docs, copy=fresh(docs, "copy"), order_key=fresh(docs, "order_key"))
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,10 +68,12 @@ def poisson_steps(rates: DataFrame) -> DataFrame:
 
 def replicate(
     docs: DataFrame, weights: Weights | None = None, exponent: float = 0.5,
-    total: float | None = None, seed: int = 10,
+    total: float | None = None, seed: int = 10, copy: str = "copy", order_key: str = "order_key",
 ) -> DataFrame:
     """The documents' rows repeated and shuffled, with ``copy`` (from 1) and ``order_key``.
 
+    Both may be given other names, for documents that have columns of these names to keep.
+
     Rows come in order of ``order_key``, partition after partition. The table of sources is stored
     first: where its measured size is below the broadcast threshold, documents are not exchanged
     before they are repeated; else the join is on the source, and adaptive execution splits a
@@ -94,4 +96,4 @@ def replicate(
         .withColumn("order_key", hashed(15, F.lit(seed), F.col("row").getField("doc_id"), F.col("copy")))
     )
     shuffled = copies.repartitionByRange("order_key").sortWithinPartitions("order_key")
-    return unpacked(shuffled, "copy", "order_key")
+    return unpacked(shuffled.withColumnsRenamed({"copy": copy, "order_key": order_key}), copy, order_key)

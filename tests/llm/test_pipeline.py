@@ -31,3 +31,10 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_mixing_keeps_columns_named_as_its_own(spark, messy, sf_dir):
+    mixed = corpus_pipeline.mixing(spark, messy, sf_dir)
+    assert mixed.columns == messy.columns
+    rows = mixed.collect()
+    assert rows and {(r.copy, r.order_key) for r in rows} == {("x", "x")}
