@@ -1415,7 +1415,12 @@ def _raw_capture(flows: DataFrame) -> DataFrame:
 
 @query("all_views")
 def _(flows, spark, sf_dir):
-    return DaySnapshot(flows).row_counts()
+    return DaySnapshot(flows).contents()
+
+
+@query("empty_views")
+def _(flows, spark, sf_dir):
+    return DaySnapshot(flows_for_date(flows, NO_DAY)).contents()
 
 
 # --- streams -----------------------------------------------------------------------------------

@@ -63,6 +63,17 @@ class DaySnapshot:
             result = result.unionByName(frame)
         return result
 
+    def contents(self) -> DataFrame:
+        """Every row of every view as ``view, content``, the row as JSON with its nulls."""
+        frames = [
+            df.select(F.lit(name).alias("view"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("content"))
+            for name, df in self.all().items()
+        ]
+        result = frames[0]
+        for frame in frames[1:]:
+            result = result.unionByName(frame)
+        return result
+
     def close(self) -> None:
         self.flows.unpersist()
 
