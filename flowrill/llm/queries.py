@@ -11,6 +11,7 @@ from flowrill.llm.decontaminate import contamination
 from flowrill.llm.fingerprints import fingerprint_documents
 from flowrill.llm.frames import stored
 from flowrill.llm.licenses import scan_licenses
+from flowrill.llm.line_dedup import drop_common_lines
 from flowrill.llm.mixing import replicate
 from flowrill.llm.near_dups import near_classes
 from flowrill.llm.quality import quality_scores
@@ -108,6 +109,14 @@ def op10_mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_common_lines(docs, min_docs=10, min_chars=1).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -177,3 +186,18 @@ select doc_id, source, cast(c as integer) as copy,
   cast(concat('0x', substr(md5(concat('10:', coalesce(cast(doc_id as varchar), ''), ':', c)), 1, 15)) as bigint) as order_key
 from times, unnest(range(1, n + 1)) as u(c)
 """
+
+ORACLES["op11_line_dedup"] = """
+with line as (
+  select doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (
+    select doc_id, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as l
+    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)
+  )
+),
+common as (select key from line where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from (select line.*, common.key is not null as gone from line left join common using (key)) group by doc_id
+"""
