@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowrill.llm.collocations import collocations
 from flowrill.llm.decontaminate import contamination
 from flowrill.llm.fingerprints import fingerprint_documents
 from flowrill.llm.frames import stored
+from flowrill.llm.lexical_search import build_index, search
 from flowrill.llm.licenses import scan_licenses
 from flowrill.llm.line_dedup import drop_common_lines
 from flowrill.llm.mixing import replicate
@@ -117,6 +119,18 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("lang", "text")
+    found = collocations(docs, longest=5, min_count=100, share=100, best=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -201,3 +215,64 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
   sha256(coalesce(string_agg(l, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from (select line.*, common.key is not null as gone from line left join common using (key)) group by doc_id
 """
+
+ORACLES["op12_lexical_search"] = f"""
+with query as (select distinct item_id, unnest({_WORDS_SQL}) as term from benchmark),
+doc as (select doc_id, unnest(w) as term, len(w) as n from (select doc_id, {_WORDS_SQL} as w from documents) where len(w) > 0),
+sums as (select count(*) as docs, cast(sum(n) as bigint) as terms from (select doc_id, any_value(n) as n from doc group by doc_id)),
+posting as (
+  select doc_id, term, count(*) as tf, any_value(n) as n from doc where term in (select term from query) group by doc_id, term
+),
+weight as (
+  select term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1))) as bigint) as w
+  from posting, sums group by term
+),
+impact as (
+  select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) as part
+  from posting join weight using (term), sums
+),
+scored as (
+  select item_id, doc_id, cast(sum(part) as bigint) as score from impact join query using (term) group by item_id, doc_id
+),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+ORACLES["op13_collocations"] = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents
+),
+run as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece),
+sizes as (select lang, cast(sum(len(w)) as bigint) as n from run group by lang),
+phrase as (
+  select lang, array_to_string(w[i : i + d - 1], ' ') as phrase, d, count(*) as f
+  from run, unnest(range(1, 6)) as x(d), unnest(range(1, len(w) + 1)) as y(i)
+  where i + d - 1 <= len(w) group by all having count(*) >= 100
+),
+split as (select lang, phrase, d, f, string_split(phrase, ' ') as w from phrase),
+inside as (
+  select lang, array_to_string(w[s : s + k - 1], ' ') as phrase, max(f) as longer
+  from split, unnest(range(2, 5)) as x(k), unnest(range(1, 5)) as y(s)
+  where k < d and s + k - 1 <= d group by all
+),
+cut as (
+  select c.lang, c.phrase, c.f as a, l.f as l, r.f as r, n, k,
+    cast((1000 * c.f::hugeint * n) // (l.f::hugeint * r.f) as bigint) as score
+  from split c join sizes using (lang), unnest(range(1, 5)) as x(k), phrase l, phrase r
+  where c.d > 1 and k < c.d
+    and l.lang = c.lang and l.phrase = array_to_string(c.w[1 : k], ' ')
+    and r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1 : c.d], ' ')
+),
+lowest as (select *, row_number() over (partition by lang, phrase order by score, k) as nth from cut),
+ranked as (
+  select o.lang, o.phrase, a, l, r, n, score,
+    row_number() over (partition by o.lang order by score desc, a desc, o.phrase) as rank
+  from lowest o left join inside i on i.lang = o.lang and i.phrase = o.phrase
+  where nth = 1 and (longer is null or 100 * longer < 100 * a)
+)
+select lang, cast(rank as integer) as rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
