@@ -62,7 +62,7 @@ def suspicious_ips(flows: DataFrame) -> DataFrame:
     )
 
 
-def _severity(label: Column, count: Column) -> Column:
+def severity(label: Column, count: Column) -> Column:
     by_count = (
         F.when(count > COUNT_HIGH_ABOVE, "high")
         .when(count > COUNT_MEDIUM_ABOVE, "medium")
@@ -83,7 +83,7 @@ def attack_stats(flows: DataFrame) -> DataFrame:
         F.struct(F.lit(DOS).alias("attack_type"), F.col("dos").alias("flows")),
     )
     return row.select(F.inline(pairs)).withColumn(
-        "severity", _severity(F.col("attack_type"), F.col("flows"))
+        "severity", severity(F.col("attack_type"), F.col("flows"))
     )
 
 
@@ -153,8 +153,8 @@ def suspicious_patterns(flows: DataFrame) -> DataFrame:
     return patterns_from_totals(totals)
 
 
-def patterns_from_totals(totals: DataFrame) -> DataFrame:
-    """The three tests on per-source totals ``ip, syn, ack, rst, rate``."""
+def patterns_from_totals(totals: DataFrame, kept: list[str] = ()) -> DataFrame:
+    """The three tests on per-source totals ``ip, syn, ack, rst, rate``; ``kept`` columns stay."""
     syn, ack, rst, rate = (F.col(c) for c in ("syn", "ack", "rst", "rate"))
     no_count, no_number = F.lit(None).cast("bigint"), F.lit(None).cast("double")
 
@@ -186,4 +186,4 @@ def patterns_from_totals(totals: DataFrame) -> DataFrame:
             F.when(rate > RATE_HIGH_ABOVE, "high").otherwise("medium"), rate=F.round(rate, 2),
         ),
     )
-    return totals.select("ip", F.inline(F.filter(findings, lambda f: f.isNotNull())))
+    return totals.select(*kept, "ip", F.inline(F.filter(findings, lambda f: f.isNotNull())))

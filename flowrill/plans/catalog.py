@@ -29,7 +29,9 @@ from flowrill.operators import (
     traffic,
 )
 from flowrill.plans import scoring, training
-from flowrill.plans.views import DaySnapshot
+from flowrill.plans.day_states import DAY_VIEWS
+from flowrill.plans.view_sql import digest_sql, views_sql
+from flowrill.plans.views import VIEW_COLUMNS, DaySnapshot, digest, long_form
 from flowrill.schema import (
     CANONICAL_COLUMNS,
     DUPLICATE_HEADER,
@@ -1413,14 +1415,26 @@ def _raw_capture(flows: DataFrame) -> DataFrame:
     return flows.select(*columns)
 
 
-@query("all_views")
+def _snapshot_contents(flows: DataFrame, spark: SparkSession) -> DataFrame:
+    """The contents of all views of one snapshot, stored, so that the snapshot can be closed."""
+    path = shared_dir(spark, "views")
+    with DaySnapshot(flows) as snapshot:
+        snapshot.contents().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("all_views", views_sql("flows", by_day=False))
 def _(flows, spark, sf_dir):
-    return DaySnapshot(flows).contents()
+    return _snapshot_contents(flows, spark)
 
 
-@query("empty_views")
+@query(
+    "empty_views",
+    views_sql("empty_day", by_day=False),
+    f"empty_day as (select * from flows where flow_date = date '{NO_DAY}')",
+)
 def _(flows, spark, sf_dir):
-    return DaySnapshot(flows_for_date(flows, NO_DAY)).contents()
+    return _snapshot_contents(flows_for_date(flows, NO_DAY), spark)
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -1511,26 +1525,49 @@ def _(flows, spark, sf_dir):
     return spark.read.parquet(f"{base}/quarantine").groupBy(key).agg(F.count(F.lit(1)).alias("bad_lines"))
 
 
-@query(
-    "stream_refresh",
-    f"""select ts as updated_day, true as updated, count(*) as total_connections, count(*) filter (where {ATTACK}) as attack_count
-        from flows where flow_date = date '{DAY}' group by ts""",
-)
-def _(flows, spark, sf_dir):
-    base = shared_dir(spark, "refresh")
-    day = dt.date.fromisoformat(DAY)
-    write_analysed(flows_for_date(flows, day), f"{base}/store")
-    schema = spark.read.parquet(f"{base}/store").schema
-    job = refresh.start_refresh(
-        spark, f"{base}/store", schema, f"{base}/views", f"{base}/checkpoint",
-        ["network_summary", "suspicious_patterns"], _NOW,
-    )
-    job.awaitTermination()
-    return refresh.read_view(spark, f"{base}/views", day, "network_summary").select(
-        F.lit(DAY).cast("timestamp_ntz").alias("updated_day"),
-        (F.lit(refresh.latest_version(spark, f"{base}/views", day)[1]) <= F.current_timestamp()).alias("updated"),
-        "total_connections", "attack_count",
-    )
+def _refresh_in_parts(flows: DataFrame, spark: SparkSession) -> tuple[str, list[int]]:
+    """Flows arrive in three appends, by line number; a run follows each, and one without new flows.
+
+    The folder of the views, and the newest version before each run.
+    """
+    base, seen = shared_dir(spark, "refresh"), []
+    columns = [c for c in VIEW_COLUMNS if c in flows.columns]
+    rows = flows.select("flow_date", *columns)
+    for part in range(4):
+        if part < 3:
+            write_analysed(rows.where(F.col("syn") % 3 == part), f"{base}/store", part, by_day=False)
+        schema = spark.read.parquet(f"{base}/store").schema
+        newest = refresh.current_versions(spark, f"{base}/views").agg(F.max("version")).first()[0]
+        seen.append(-1 if newest is None else newest)
+        refresh.start_refresh(
+            spark, f"{base}/store", schema, f"{base}/views", f"{base}/checkpoint", trigger=_NOW
+        ).awaitTermination()
+    return f"{base}/views", seen
+
+
+@query("stream_refresh", digest_sql("flows"))
+def _(flows, spark, sf_dir):
+    views, _ = _refresh_in_parts(flows, spark)
+    rows = long_form({name: refresh.read_days(spark, views, name) for name in DAY_VIEWS}, "flow_date")
+    return digest(rows, "flow_date")
+
+
+@query(
+    "stream_notify",
+    """select flow_date, cast(max(syn % 3) as bigint) as version, bool_or(syn % 3 = 2) as newer_than_second,
+         false as newer_than_third from flows group by flow_date""",
+)
+def _(flows, spark, sf_dir):
+    views, seen = _refresh_in_parts(flows, spark)
+    newer = [
+        refresh.changed_days(spark, views, version).select("flow_date", F.lit(True).alias(name))
+        for version, name in ((seen[2], "newer_than_second"), (seen[3], "newer_than_third"))
+    ]
+    days = refresh.changed_days(spark, views)
+    for days_then in newer:
+        days = days.join(days_then, "flow_date", "left")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("newer_than_second", "newer_than_third")]
+    return days.select("flow_date", "version", *flags)
 
 
 def _run_updates(view: DataFrame, spark: SparkSession, key: str) -> DataFrame:

@@ -64,6 +64,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder, if it exists, in the file system Spark resolves it to."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
