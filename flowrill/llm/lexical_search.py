@@ -7,7 +7,8 @@ query starts with the interval of all documents of a block, bounded by the sum o
 maxima. The interval of the highest bound is split at the document of its greatest impact: that
 document is scored, and the two rests are bounded again. The search of a block ends when no
 interval can hold a better document than the k found, so its k best are exact, and so are the k
-best of all blocks.
+best of all blocks. Before, the documents at the maxima of whole lists are scored: the k-th best of
+them in all blocks is a floor, and intervals bounded below it are not opened.
 
 A block holds at most ``BLOCK_CHARS`` characters of text or ``BLOCK_DOCS`` documents (one longer
 document is a block of its own), so a task holds the lists of one block at a time. Queries are
@@ -26,7 +27,8 @@ import heapq
 from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -121,14 +123,21 @@ def build_index(docs: DataFrame) -> DataFrame:
     return stored(plain.mapInArrow(index, _POSTINGS), "lexical-index", "zstd")[0]
 
 
-def sparse_table(impacts: np.ndarray) -> list[list[int]]:
+def _packed(numbers: np.ndarray) -> array:
+    """Eight bytes a number, and plain integers on access."""
+    out = array("q")
+    out.frombytes(numbers.astype(np.int64).tobytes())
+    return out
+
+
+def sparse_table(impacts: np.ndarray) -> list[array]:
     """Level j holds the maxima of 2^j neighbours, each with its place: equal ones, the first."""
     n = len(impacts)
     level = (impacts << np.int64(23)) + (n - 1 - np.arange(n, dtype=np.int64))
-    levels, width = [level.tolist()], 1
+    levels, width = [_packed(level)], 1
     while 2 * width <= n:
         level = np.maximum(level[:-width], level[width:])
-        levels.append(level.tolist())
+        levels.append(_packed(level))
         width *= 2
     return levels
 
@@ -137,8 +146,16 @@ class PostingList:
     """Documents of one term in order, their impacts and the range maxima of these."""
 
     def __init__(self, docs: np.ndarray, impacts: np.ndarray) -> None:
-        self.docs, self.impacts = docs.tolist(), impacts.tolist()
-        self.levels = sparse_table(impacts)
+        self.docs, self.impacts = _packed(docs), _packed(impacts)
+
+    @cached_property
+    def levels(self) -> list[array]:
+        return sparse_table(np.frombuffer(self.impacts, np.int64))
+
+    @cached_property
+    def best(self) -> int:
+        """The first document of the greatest impact."""
+        return self.docs[self.impacts.index(max(self.impacts))]
 
     def top(self, start: int, end: int) -> int:
         """The greatest impact in a range that is not empty, packed with its place."""
@@ -147,9 +164,19 @@ class PostingList:
         a, b = level[start], level[end - (1 << j)]
         return a if a >= b else b
 
+    def impact(self, doc: int) -> int:
+        i = bisect_left(self.docs, doc)
+        return self.impacts[i] if i < len(self.docs) and self.docs[i] == doc else 0
+
 
-def best_first(lists: list[PostingList], n_docs: int, k: int) -> list[tuple[int, int]]:
-    """``(score, document)`` of the k best documents, scores above 0, equal ones in document order."""
+def seeds(lists: list[PostingList], k: int) -> list[int]:
+    """The k best scores among the documents of greatest impact of each list."""
+    return heapq.nlargest(k, (sum(p.impact(doc) for p in lists) for doc in {p.best for p in lists}))
+
+
+def best_first(lists: list[PostingList], n_docs: int, k: int, floor: int = 1) -> list[tuple[int, int]]:
+    """``(score, document)`` of the k best documents, scores from ``floor`` on, equal ones in
+    document order."""
 
     def interval(lo: int, hi: int, ranges: list[tuple[PostingList, int, int]]):
         """A heap entry: bound, place and the document to split at."""
@@ -179,7 +206,7 @@ def best_first(lists: list[PostingList], n_docs: int, k: int) -> list[tuple[int,
                 left.append((posting, start, i))
             if j < end:
                 right.append((posting, j, end))
-        if score > 0:
+        if score >= floor:
             if len(found) < k:
                 heapq.heappush(found, (score, -split))
             elif (score, -split) > found[0]:
@@ -187,7 +214,7 @@ def best_first(lists: list[PostingList], n_docs: int, k: int) -> list[tuple[int,
         for start, end, rest in ((lo, split, left), (split + 1, hi, right)):
             if rest:
                 entry = interval(start, end, rest)
-                if entry[0] < 0 and (len(found) < k or (-entry[0], -start) > found[0]):
+                if -entry[0] >= floor and (len(found) < k or (-entry[0], -start) > found[0]):
                     # Intervals do not overlap, so no two entries agree in bound and start.
                     heapq.heappush(heap, entry)
     return sorted(((score, -doc) for score, doc in found), key=lambda x: (-x[0], x[1]))
@@ -200,7 +227,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     term weighs w = floor(1000 ln((2N + 2) / (2 df + 1))). Its impact on a document of n terms that
     holds it tf times is w * ((10^9 tf) div (1000 tf + 8m)) with m = 10 + (90 n N) div L.
     """
-    kind = items.schema["item_id"].dataType
+    item_type = items.schema["item_id"].dataType.simpleString()
     terms = items.select("item_id", F.explode(F.array_distinct(word_array(F.col("text")))).alias("term")).distinct()
     n_items = items.agg(F.count_distinct(F.struct("item_id"))).first()[0]
     n_batches = max(1, -(-n_items // BATCH_ITEMS))
@@ -218,32 +245,56 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     total_docs, total_terms = sums[0] or 0, sums[1] or 0
     weight = F.floor(1000 * F.log((2.0 * total_docs + 2) / (2 * F.col("df") + 1)))
     weights = hits.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).select("term", weight.alias("w"))
-    wanted = terms.groupBy("batch", "term").agg(F.collect_list(F.struct("item_id")).alias("items"))
-    weighed = hits.join(wanted.join(weights, "term"), "term")
-    every = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
-
-    def best(postings: pa.Table, block: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"item_id": [], "doc_id": [], "score": []}
-        if postings.num_rows and block.num_rows:
-            ids = block["ids"][0].values
-            m = np.array([10 + (90 * n * total_docs) // total_terms for n in block["lengths"][0].as_py()], np.int64)
-            lists: dict[int | str | None, list[PostingList]] = {}
-            for docs, tfs, w, of in zip(postings["docs"], postings["tfs"], postings["w"], postings["items"]):
-                docs, tf = docs.values.to_numpy(), tfs.values.to_numpy().astype(np.int64)
-                posting = PostingList(docs, w.as_py() * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[docs])))
-                for item in of.as_py():
-                    lists.setdefault(item["item_id"], []).append(posting)
-            for item, own in lists.items():
-                for score, doc in best_first(own, len(m), k):
-                    out["item_id"].append(item)
-                    out["doc_id"].append(ids[doc].as_py())
-                    out["score"].append(score)
-        types = {"item_id": postings.schema.field("items").type.value_type.field("item_id").type, "doc_id": pa.int64(), "score": pa.int64()}
-        return pa.table({name: pa.array(out[name], types[name]) for name in out})
-
-    found = (
-        weighed.groupBy("block", "batch").cogroup(every.groupBy("block", "batch"))
-        .applyInArrow(best, f"item_id {kind.simpleString()}, doc_id long, score long")
+    batches = F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1)))
+    every = blocks.withColumn("batch", batches).groupBy("block", "batch")
+
+    def by_block(queries: DataFrame, answer: Callable, schema: str) -> DataFrame:
+        """``answer(lists, n_docs, floor)`` for every query in every block, as rows of columns."""
+        names = [name.split()[0] for name in schema.split(", ")]
+
+        def run(postings: pa.Table, block: pa.Table) -> pa.Table:
+            own = postings.schema.field("items").type.value_type
+            types = {"item_id": own.field("item_id").type}
+            out: dict[str, list] = {name: [] for name in names}
+            if postings.num_rows and block.num_rows:
+                ids = block["ids"][0].values
+                m = np.array([10 + (90 * n * total_docs) // total_terms for n in block["lengths"][0].as_py()], np.int64)
+                lists: dict = {}
+                for docs, tfs, w, of in zip(postings["docs"], postings["tfs"], postings["w"], postings["items"]):
+                    docs, tf = docs.values.to_numpy(), tfs.values.to_numpy().astype(np.int64)
+                    posting = PostingList(docs, w.as_py() * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[docs])))
+                    for item in of.as_py():
+                        lists.setdefault((item["item_id"], item["floor"]), []).append(posting)
+                for (item, floor), found in lists.items():
+                    for score, doc in answer(found, len(m), floor):
+                        out["item_id"].append(item)
+                        out["score"].append(score)
+                        if "doc_id" in out:
+                            out["doc_id"].append(ids[doc].as_py())
+            return pa.table({name: pa.array(out[name], types.get(name, pa.int64())) for name in names})
+
+        wanted = queries.groupBy("batch", "term").agg(F.collect_list(F.struct("item_id", "floor")).alias("items"))
+        weighed = hits.join(wanted.join(weights, "term"), "term")
+        return weighed.groupBy("block", "batch").cogroup(every).applyInArrow(run, schema)
+
+    # The k-th best of some documents' scores is a floor of the k-th best of all.
+    some = by_block(
+        terms.withColumn("floor", F.lit(1).cast("long")),
+        lambda lists, n_docs, floor: ((score, 0) for score in seeds(lists, k)),
+        f"item_id {item_type}, score long",
+    )
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc()))
+    floors, _ = stored(
+        some.withColumn("place", place).where(F.col("place") == k)
+        .select(F.col("item_id").alias("of"), F.greatest("score", F.lit(1)).alias("floor")),
+        "query-floors",
+    )
+    raised = terms.join(floors, F.col("item_id").eqNullSafe(F.col("of")), "left").select(
+        "batch", "item_id", "term", F.coalesce("floor", F.lit(1).cast("long")).alias("floor")
+    )
+    found = by_block(
+        raised, lambda lists, n_docs, floor: best_first(lists, n_docs, k, floor),
+        f"item_id {item_type}, doc_id long, score long",
     )
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
