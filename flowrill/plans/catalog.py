@@ -6,16 +6,17 @@ engines add in different orders; the operators themselves do not round.
 
 from __future__ import annotations
 
-import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowrill.functions import flow_text as text
 from flowrill.operators import (
     anomaly,
     bayes,
+    boosting,
     classifiers,
     clean,
     hosts,
@@ -39,7 +40,7 @@ from flowrill.schema import (
     RATE_COLUMNS,
     short_name,
 )
-from flowrill.session import shared_dir
+from flowrill.session import child_names, folder_bytes, move_path, shared_dir
 from flowrill.sources import captures
 from flowrill.sources.day_store import (
     current_day_flows,
@@ -1346,6 +1347,84 @@ def _(flows, spark, sf_dir):
     return _trained(flows, "Naive Bayes")
 
 
+_USABLE = """
+usable as (
+  select label, count(*) as n from flows
+  where flow_bytes_s < 'Infinity'::double and label in ('BENIGN', 'DoS') group by label
+)"""
+
+
+def _properties(predicted: DataFrame, name: str) -> DataFrame:
+    """How many rows were predicted, and whether more are right than the largest class has."""
+    right = F.count_if(F.col("label_code") == F.col("prediction"))
+    largest = F.greatest(F.count_if(F.col("label_code") == 0), F.count_if(F.col("label_code") == 1))
+    return predicted.agg(F.count(F.lit(1)).alias("n_rows"), (right > largest).alias("above_majority")).select(
+        F.lit(name).alias("model"), "*"
+    )
+
+
+_PROPERTY_SQL = "select '{}' as model, 2 * (min(n) // 5) as n_rows, true as above_majority from usable"
+_OWN_TREE = "Decision Tree (10 rows to split)"
+
+
+@query(
+    "trained_properties",
+    " union all ".join(_PROPERTY_SQL.format(n) for n in ("Logistic Regression", "Decision Tree", "Naive Bayes", _OWN_TREE)),
+    _USABLE,
+)
+def _(flows, spark, sf_dir):
+    rows, _ = _stored_training_set(flows, spark)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    found = [
+        _properties(classifiers.predict(classifiers.fit_model(train, name), test, ["label_code"]), name)
+        for name in ("Logistic Regression", "Decision Tree", "Naive Bayes")
+    ]
+    tree = boosting.fit_tree(train, MODEL_FEATURES, "label_code")
+    return metrics.union_all([*found, _properties(tree.predict(test, "label_code"), _OWN_TREE)])
+
+
+def _stored_training_set(flows: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
+    path = shared_dir(spark, "training")
+    training.training_rows(flows, ["BENIGN", "DoS"]).write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+@query("train_second_order", _PROPERTY_SQL.format("Gradient Boosting (second order)"), _USABLE)
+def _(flows, spark, sf_dir):
+    rows, _ = _stored_training_set(flows, spark)
+    model = boosting.fit_boosted(rows.where("split = 'train'"), MODEL_FEATURES, "label_code")
+    predicted = model.predict(rows.where("split = 'test'"), "label_code")
+    return _properties(predicted, "Gradient Boosting (second order)")
+
+
+_FOUR = ["BENIGN", "DDoS", "DoS", "PortScan"]
+
+
+@query(
+    "train_four_classes",
+    f"""
+    select class, case when class in ('accuracy', 'macro avg', 'weighted avg') then 4 * test else test end as support
+    from (select min(n) // 5 as test from usable),
+      (values ('0'), ('1'), ('2'), ('3'), ('accuracy'), ('macro avg'), ('weighted avg')) v(class)
+    """,
+    CATEGORISED + f""", usable as (
+      select class_label, count(*) as n from categorised
+      where flow_bytes_s < 'Infinity'::double and class_label in ({", ".join(f"'{c}'" for c in _FOUR)}) group by class_label
+    )""",
+)
+def _(flows, spark, sf_dir):
+    """Rare classes go, the others are balanced, split, scaled, fitted by softmax trees and reported."""
+    rare = ["Brute Force", "Web Attack", "Bot", "Infiltration", "Vulnerability Exploit"]
+    kept = clean.exclude_classes(clean.drop_unknown(_categorised(flows)), rare)
+    path = shared_dir(spark, "training")
+    rows = training.training_rows(kept, _FOUR, label="class_label")
+    scaling.standard_scale(rows, MODEL_FEATURES).write.parquet(path)
+    rows = spark.read.parquet(path)
+    model = boosting.fit_boosted(rows.where("split = 'train'"), MODEL_FEATURES, "label_code", n_classes=4, rounds=30)
+    predicted = model.predict(rows.where("split = 'test'"), "label_code")
+    return metrics.classification_report(predicted, "label_code").select("class", "support")
+
+
 @query("knn_classify")
 def _(flows, spark, sf_dir):
     rows = scaling.standard_scale(_training_set(flows), MODEL_FEATURES)
@@ -1525,6 +1604,72 @@ def _(flows, spark, sf_dir):
     return spark.read.parquet(f"{base}/quarantine").groupBy(key).agg(F.count(F.lit(1)).alias("bad_lines"))
 
 
+@query(
+    "stream_bounded",
+    """select count(*) as flows, count(distinct flow_id) as distinct_flows, true as several_batches,
+         true as within_limit from flows""",
+)
+def _(flows, spark, sf_dir):
+    """Captures in batches of a fifth of their bytes, by a job that goes on until nothing is left."""
+    base = shared_dir(spark, "bounded")
+    _write_captures(flows, f"{base}/captures")
+    limit = max(1 << 16, folder_bytes(spark, f"{base}/captures") // 5)
+    job = score_job.start_scoring(
+        spark, f"{base}/captures", f"{base}/analysed", f"{base}/quarantine", f"{base}/checkpoint",
+        lambda rows: rows, _STREAMED, {"processingTime": "0 seconds"}, by_day=False, max_bytes_per_trigger=limit,
+    )
+    try:
+        job.processAllAvailable()
+        taken = [b for p in job.recentProgress if (b := _bytes_taken(p["sources"][0]))]
+    finally:
+        job.stop()
+    # A line longer than the limit would be a batch of its own; these have a few hundred bytes.
+    within = F.lit(max(taken, default=0) <= limit).alias("within_limit")
+    rows = spark.read.parquet(f"{base}/analysed")
+    return rows.agg(
+        F.count(F.lit(1)).alias("flows"), F.count_distinct("flow_id").alias("distinct_flows"),
+        (F.count_distinct("batch_id") >= 5).alias("several_batches"),
+    ).select("*", within)
+
+
+def _bytes_taken(source: dict) -> int:
+    """Bytes of all files between a batch's two offsets."""
+    start, end = (json.loads(o) if isinstance(o, str) else o or {} for o in (source["startOffset"], source["endOffset"]))
+    return sum(v[0] - start.get(k, [0])[0] for k, v in end.items())
+
+
+_RECREATED = "flow_id, src_ip, protocol, flow_bytes_s, syn, label"
+
+
+@query(
+    "stream_recreated",
+    f"""select {_RECREATED} from flows
+        union all
+        select {_RECREATED} from flows where psh % 4 = 0
+        qualify row_number() over (partition by syn % 4 order by flow_id) = 1""",
+)
+def _(flows, spark, sf_dir):
+    """Four captures are replaced by longer ones of the same names, headers and first lines.
+
+    The flows of a capture are written anew behind its first one, which therefore comes twice.
+    """
+    base = shared_dir(spark, "recreated")
+    capture, first = F.col("syn") % 4, F.row_number().over(Window.partitionBy(F.col("syn") % 4).orderBy("flow_id")) == 1
+    old = flows.where("psh % 4 = 0").withColumn("place", F.lit(1))
+    heads = old.withColumn("first", first).where("first").drop("first").withColumn("place", F.lit(0))
+    for part, rows in enumerate((old, heads.unionByName(flows.where("psh % 4 <> 0").withColumn("place", F.lit(1))))):
+        folder = f"{base}/new-{part}"
+        named = rows.withColumn("capture", capture).repartition("capture").sortWithinPartitions("capture", "place", "flow_id")
+        columns = [F.col(short_name(c)).alias(c) for c in _STREAMED]
+        named.select(*columns, "capture").write.partitionBy("capture").option("header", "true").csv(folder)
+        for name in child_names(spark, folder):
+            for file in child_names(spark, f"{folder}/{name}"):
+                if file.endswith(".csv"):
+                    move_path(spark, f"{folder}/{name}/{file}", f"{base}/captures/{name}.csv")
+        _score_captures(spark, base, lambda rows: rows)
+    return spark.read.parquet(f"{base}/analysed").select(*[c.strip() for c in _RECREATED.split(",")])
+
+
 def _refresh_in_parts(flows: DataFrame, spark: SparkSession) -> tuple[str, list[int]]:
     """Flows arrive in three appends, by line number; a run follows each, and one without new flows.
 
@@ -1578,9 +1723,9 @@ def _run_updates(view: DataFrame, spark: SparkSession, key: str) -> DataFrame:
 
 @query("stream_trend", "select * from trend", TREND)
 def _(flows, spark, sf_dir):
-    return rounded(
-        _run_updates(live.live_trend(flow_stream(spark, sf_dir)), spark, "ts"), 2, "bytes", "packets"
-    )
+    base = shared_dir(spark, "live")
+    live.start_trend(flow_stream(spark, sf_dir), f"{base}/sums", f"{base}/checkpoint", _NOW).awaitTermination()
+    return rounded(live.read_trend(spark, f"{base}/sums"), 2, "bytes", "packets")
 
 
 @query("stream_patterns")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,7 +56,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="flowrill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that workers open the one that Spark's readers open."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/(?!/)", "file:///", uri)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -71,6 +79,22 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def move_path(spark: SparkSession, old: str, new: str) -> None:
+    """Give a file a new place; one that is there is replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(new).getParent())
+    system.delete(path(new), False)
+    if not system.rename(path(old), path(new)):
+        raise OSError(f"cannot move {old} to {new}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder, if it exists, in the file system Spark resolves it to."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

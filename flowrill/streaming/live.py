@@ -1,6 +1,8 @@
 """Incremental live views. Extensions: the streaming forms of the trend and of the patterns.
 
-State is one small row per time window or source; rows are combined map-side before they reach it.
+The trend keeps no state: each batch stores its sums, readers add them up, and now and then all are
+folded into one table. The patterns' state is one small row per source. Rows are combined map-side
+first.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowrill.functions.flow_text import has_text
 from flowrill.functions.numbers import number_or_zero
-from flowrill.session import path_exists
+from flowrill.session import child_names, delete_path, path_exists
 
 
 def live_trend(flows: DataFrame, window: str = "1 second", late: str | None = None) -> DataFrame:
@@ -34,6 +36,74 @@ def live_trend(flows: DataFrame, window: str = "1 second", late: str | None = No
     )
 
 
+def trend_sums(flows: DataFrame, window: str = "1 second") -> DataFrame:
+    """Byte and packet rate sums per time window of some flows."""
+    start = F.window(F.col("ts").cast("timestamp"), window)["start"]  # sessions run in UTC
+    return flows.where(F.col("ts").isNotNull()).groupBy(start.cast("timestamp_ntz").alias("ts")).agg(
+        F.sum(number_or_zero("flow_bytes_s")).alias("bytes"),
+        F.sum(number_or_zero("flow_packets_s")).alias("packets"),
+    )
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("ts").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
+
+
+def _trend_parts(spark: SparkSession, output: str) -> list[tuple[str, int, str]]:
+    """Complete tables as (kind, last batch, path), those that a folded one covers left out."""
+    parts = []
+    for name in child_names(spark, output):
+        if path_exists(spark, f"{output}/{name}/_SUCCESS"):
+            kind, last = name.split("-")
+            parts.append((kind, int(last), f"{output}/{name}"))
+    folded = max((last for kind, last, _ in parts if kind == "all"), default=-1)
+    return [p for p in parts if (p[0] == "all" and p[1] == folded) or p[1] > folded]
+
+
+def start_trend(
+    flows: DataFrame, output: str, checkpoint: str, trigger: dict | None = None, window: str = "1 second",
+    fold_every: int = 50,
+) -> StreamingQuery:
+    """Store the sums of every batch under its number; a repeated batch replaces its own.
+
+    No flow is late and the stream has no state. Every ``fold_every`` batches the tables so far
+    become one; only then those it covers are deleted.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if any(kind == "all" and last >= batch_id for kind, last, _ in _trend_parts(spark, output)):
+            return  # repeated after it was folded
+        trend_sums(batch, window).write.mode("overwrite").parquet(f"{output}/batch-{batch_id}")
+        if batch_id % fold_every == fold_every - 1:
+            fold_trend(spark, output)
+
+    return (
+        flows.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"}))
+        .foreachBatch(write_batch)
+        .start()
+    )
+
+
+def fold_trend(spark: SparkSession, output: str) -> None:
+    """Add up the tables so far into one, then delete them."""
+    parts = _trend_parts(spark, output)
+    if len(parts) < 2:
+        return
+    last = max(last for _, last, _ in parts)
+    read_trend(spark, output).write.mode("overwrite").parquet(f"{output}/all-{last}")
+    for *_, path in parts:
+        delete_path(spark, path)
+
+
+def read_trend(spark: SparkSession, output: str) -> DataFrame:
+    """``ts, bytes, packets`` of all batches so far."""
+    schema = "ts timestamp_ntz, bytes double, packets double"
+    paths = [path for *_, path in _trend_parts(spark, output)]
+    return _added(spark.read.schema(schema).parquet(*paths)) if paths else spark.createDataFrame([], schema)
+
+
 def live_pattern_totals(flows: DataFrame) -> DataFrame:
     """Running per-source totals, the input of the pattern tests."""
     return (

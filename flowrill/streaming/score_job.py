@@ -69,9 +69,12 @@ def start_scoring(
     """Start scoring the captures of a folder; also what exists when the job starts.
 
     ``trigger`` is passed to the stream, for example ``{"processingTime": "1 second"}`` or
-    ``{"availableNow": True}``. With ``metrics`` the counters of every batch are written below it,
-    under the batch's number.
+    ``{"availableNow": True}``, which plans one batch. With ``metrics`` the counters of every batch
+    are written below it, under the batch's number. ``max_bytes_per_trigger`` among the options of
+    the source bounds a batch; what was planned is kept next to the checkpoint's own log.
     """
+    if "max_bytes_per_trigger" in source_options:
+        source_options.setdefault("plan_log", f"{checkpoint}/planned")
     lines = tail_captures(spark, folder, columns or CANONICAL_COLUMNS, **source_options)
     parsed = parse_lines(lines, columns)
 

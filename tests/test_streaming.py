@@ -298,3 +298,111 @@ def test_live_updates_over_several_batches(spark, make_flows, tmp_path):
         ).awaitTermination()
     state = live.current_state(spark.read.parquet(str(tmp_path / "out")), "ip")
     assert {r["ip"]: r["syn"] for r in state.collect()} == {"1.1.1.1": 25, "9.9.9.9": 3}
+
+
+def read_all(reader, start, end):
+    return [
+        line for part in reader.partitions(start, end) for batch in reader.read(part) for line in batch.column("line").to_pylist()
+    ]
+
+
+def bounded(tmp_path, limit, **options):
+    return CaptureTailReader({
+        "path": str(tmp_path / "in"), "maxbytespertrigger": str(limit), "planlog": str(tmp_path / "log"),
+        "rangebytes": "50", **options,
+    })
+
+
+@pytest.mark.parametrize("limit", [1, 20, 64, 10**6])
+def test_a_trigger_takes_a_bounded_number_of_bytes(tmp_path, limit):
+    (tmp_path / "in").mkdir()
+    lines = {name: [f"{name}-{i}-" + "x" * (i % 30) for i in range(40)] for name in ("a", "b")}
+    for name, own in lines.items():
+        (tmp_path / "in" / f"{name}.csv").write_text("h\n" + "\n".join(own) + "\n")
+    start, found, batches = {}, [], 0
+    while True:
+        reader = bounded(tmp_path, limit)  # every batch by a restarted job
+        end = reader.latestOffset()
+        assert reader.latestOffset() == end
+        if end == start:
+            break
+        new = read_all(reader, start, end)
+        assert sum(o[0] - start.get(n, [0])[0] for n, o in end.items()) <= max(limit, 36)  # the longest line
+        found += new
+        start, batches = end, batches + 1
+    assert found == lines["a"] + lines["b"]
+    assert batches == (1 if limit == 10**6 else batches) and (limit > 64 or batches > 20)
+    assert len(list((tmp_path / "log").iterdir())) <= 2
+
+
+def test_a_planned_batch_is_repeated_and_the_next_follows_it(tmp_path):
+    (tmp_path / "in").mkdir()
+    file = tmp_path / "in" / "a.csv"
+    file.write_text("h\n" + "".join(f"row-{i}\n" for i in range(10)))
+    one = bounded(tmp_path, 16).latestOffset()  # ended before the plan was written down
+    assert bounded(tmp_path, 16).latestOffset() == one
+    assert read_all(bounded(tmp_path, 16), {}, one) == read_all(bounded(tmp_path, 16), {}, one) == ["row-0", "row-1"]
+    (tmp_path / "log" / "000000000007").write_text('{"a.c')  # an entry cut off
+    reader = bounded(tmp_path, 16)
+    two = reader.latestOffset()
+    assert read_all(reader, one, two) == ["row-2", "row-3"]
+    with pytest.raises(ValueError, match="plan_log"):
+        CaptureTailReader({"path": str(tmp_path), "maxbytespertrigger": "5"})
+
+
+@pytest.mark.parametrize("limit", [None, 10**6, 3000])
+def test_a_longer_file_with_the_same_first_line_is_read_from_its_start(tmp_path, limit):
+    (tmp_path / "in").mkdir()
+    file = tmp_path / "in" / "a.csv"
+
+    def reader():
+        return bounded(tmp_path, limit) if limit else CaptureTailReader({"path": str(tmp_path / "in")})
+
+    def follow(start):
+        found = []
+        while (end := reader().latestOffset()) != start:
+            found += read_all(reader(), start, end)
+            start = end
+        return start, found
+
+    first = ["same"] + [f"old-{i}" for i in range(5000)]
+    second = ["same"] + [f"new-{i}" for i in range(9000)]
+    file.write_text("h\n" + "\n".join(first) + "\n")
+    start, found = follow({})
+    assert found == first
+    file.write_text("h\n" + "\n".join(second) + "\n")
+    start, found = follow(start)
+    assert found == second
+    with open(file, "a") as out:
+        out.write("more\n")
+    assert follow(start)[1] == ["more"]
+
+
+def test_scoring_in_bounded_batches_survives_restarts(spark, job):
+    job.append(HEADER + "\n" + "".join(row(i) + "\n" for i in range(30)))
+    limit = {"max_bytes_per_trigger": 1500, "plan_log": str(job.base / "checkpoint" / "planned")}
+    for _ in range(20):  # availableNow plans one batch a run
+        job.run(**limit)
+    assert job.ids() == sorted(f"flow-{i}" for i in range(30))
+    assert job.scored().select("batch_id").distinct().count() > 2
+
+
+def test_trend_of_many_batches_has_no_state(spark, make_flows, tmp_path):
+    from flowrill.operators.traffic import traffic_trend
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    flows = make_flows(*[{"ts": f"2024-01-{15 - i % 3}T10:00:0{i % 2}", "flow_bytes_s": 1.5 * i} for i in range(12)], {"ts": None})
+    assert live.read_trend(spark, out).count() == 0
+    for i in range(7):  # late days come again and again
+        flows.where(f"pmod(hash(flow_id), 7) = {i}").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(flows.schema).parquet(source)
+        query = live.start_trend(stream, out, str(tmp_path / "cp"), NOW, fold_every=3)
+        query.awaitTermination()
+        assert all(not p["stateOperators"] for p in query.recentProgress)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(live.read_trend(spark, out)) == rows(traffic_trend(flows.where("ts is not null")))
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"all-5", "batch-6"}
+    live.trend_sums(flows).write.parquet(f"{out}/batch-2")  # left by an attempt after the fold
+    assert rows(live.read_trend(spark, out)) == rows(traffic_trend(flows.where("ts is not null")))
+    live.fold_trend(spark, out)
+    assert rows(live.read_trend(spark, out)) == rows(traffic_trend(flows.where("ts is not null")))
