@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages: from documents to token-ID files.
 
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``. Stages
-are stored as Parquet in the shared folder, and the next one reads that table.
+are stored as Parquet in the shared folder, and the next one reads that table, which is then deleted.
+
+Null and empty texts pass like others and are scored as empty; copies of each other, of them one
+stays. Null and repeated ``doc_id`` are kept apart by their texts. Extra columns pass through. A
+stage that drops everything, or an empty table, gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from flowrill.llm.mixing import replicate
 from flowrill.llm.near_dups import drop_near_copies
 from flowrill.llm.quality import keep_good
 from flowrill.llm.token_files import token_id_output
-from flowrill.session import shared_dir
+from flowrill.session import delete_path, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +62,13 @@ ORACLE_SQL = None  # a learned classifier and a tokenizer are not expressible in
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            delete_path(spark, before)
+        docs, before = spark.read.schema(docs.schema).parquet(path), path
+    result = STAGES[-1][1](spark, docs, sf_dir)  # its files and their index are written
+    delete_path(spark, before)
+    return result
