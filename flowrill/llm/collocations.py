@@ -8,10 +8,13 @@ lowest cut counts, the first of equal ones. A candidate goes if one with a word
 after it occurs (nearly) as often; longer ones cannot occur more often than those.
 
 * A shard is the tokens of some documents of one language, cut at pieces, at most ``SHARD_WORDS``.
-* Level by level, shards send their n-grams, counts are summed across shards, and what reached
-  ``min_count`` returns to the shards that hold it. Only n-grams whose parts both returned are sent
-  on, so no phrase is missed and few others are counted.
-* In a shard, the returned n-grams are found by backward search on an FM-index of word numbers. The
+* Level by level, counts of n-grams are summed across shards, and shards are told which of theirs
+  reached ``min_count``. Only n-grams whose parts both did are counted, so no phrase is missed and
+  few others are looked at.
+* Most n-grams are rare. Shards send 96-bit hashes and counts, packed by ranges of hashes; of each
+  frequent n-gram one shard that holds it gives the words. Two of a million million phrases share
+  such a hash with a probability of 6 in a million.
+* In a shard, frequent n-grams are found by backward search on an FM-index of word numbers. The
   symbols of the BWT in an interval are the words before it, with their counts. Levels extend in
   turn to the right (on the index of the reversed text) and to the left. Then the text shrinks to
   what can still hold a longer phrase.
@@ -30,20 +33,25 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowrill.llm.dart_minhash import mix
 from flowrill.llm.frames import discard, stored
 
 SHARD_WORDS = 3 << 20
-SLICE = 50_000
+PART_HASHES, PARTITIONS_PER_PART = 4 << 20, 4
 SALTS = 64
-_LEVEL = "shard string, lang string, phrase string, at int, n long, text binary, words binary"
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_PARTS = "shard string, part long, hashes binary, checks binary, counts binary"
+_LEVEL = f"{_PARTS}, lang string, size long, text binary, words binary, at binary, phrase string, a long"
 _SCHEMA = pa.schema(
     [
-        ("shard", pa.string()), ("lang", pa.string()), ("phrase", pa.string()), ("at", pa.int32()),
-        ("n", pa.int64()), ("text", pa.binary()), ("words", pa.binary()),
+        ("shard", pa.string()), ("part", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()),
+        ("counts", pa.binary()), ("lang", pa.string()), ("size", pa.int64()), ("text", pa.binary()),
+        ("words", pa.binary()), ("at", pa.binary()), ("phrase", pa.string()), ("a", pa.int64()),
     ]
 )
 # Pieces end at the marks and at \x0A-\x0D; a tab parts words as a blank does.
@@ -68,29 +76,73 @@ class _Shard:
         self.tokens.append(0)
 
 
-def _level_rows(shard: str, lang: str, text: np.ndarray, words: pa.Array, phrases: pa.Array, at: np.ndarray, n: np.ndarray) -> pa.Table:
-    """A row with the shard's text and words (numbered from 1), then a row for each phrase."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, so that leading zeros take no room."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(kind).ravel()
+
+
+def phrase_hashes(
+    text: np.ndarray, start: np.ndarray, m: int, words: list[bytes], lang: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits for the m words at each place, the same in all shards of a language."""
+    out = []
+    for seed in (13, 14):
+        of_word = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
+        total = np.full(len(start), xxhash.xxh3_64_intdigest(lang.encode("utf-8"), seed), np.uint64)
+        for i in range(m):
+            total += mix(of_word[text[start + i]] + np.uint64(i + 1) * _GOLDEN)
+        out.append(mix(total))
+    return out[0], out[1].astype(np.uint32)
+
+
+def _rows(columns: dict[str, list]) -> pa.Table:
+    """A table of the level's schema; columns not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.table([pa.array(columns.get(f.name, [None] * n), f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _state(
+    shard: str, lang: str, text: np.ndarray, words: list[bytes], at: np.ndarray, n: np.ndarray, m: int, parts: int
+) -> pa.Table:
+    """A shard's text, words (the first is that of 0) and n-grams of m words, which are at ``at`` and
+    occur n times; and for each range of hashes a row with their hashes and counts."""
+    hashes, checks = phrase_hashes(text, at, m, words, lang)
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((hashes, part))
+    hashes, checks, part, n = hashes[order], checks[order], part[order], n[order].astype(np.int64)
     own = {
-        "shard": [shard], "lang": [lang], "phrase": [None], "at": [None], "n": [None],
-        "text": [pack(text.astype("<i4").tobytes())], "words": [pack(b"\n".join(words.to_pylist()))],
+        "shard": [shard], "lang": [lang], "size": [int(np.count_nonzero(text))], "text": [_pack(text.astype("<i4"))],
+        "words": [zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[1:]))],
+        "at": [_pack(at[order].astype("<i4"))],
+    }
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    ranges = [slice(low, high) for low, high in zip(cuts, [*cuts[1:], len(part)])]
+    sent = {
+        "shard": [shard] * len(cuts), "part": part[cuts].tolist(),
+        "hashes": [_pack(np.diff(hashes[r], prepend=np.uint64(0)).astype("<u8")) for r in ranges],
+        "checks": [_pack(checks[r].astype("<u4")) for r in ranges],
+        "counts": [_pack(n[r].astype("<i8")) for r in ranges],
     }
-    same = pa.array(np.zeros(len(phrases), np.int32))
-    none = pa.nulls(len(phrases), pa.binary())
-    rows = [pa.array([shard]).take(same), pa.array([lang]).take(same), phrases.cast(pa.string()), pa.array(at, pa.int32()), pa.array(n, pa.int64()), none, none]
-    return pa.concat_tables([pa.table(own, _SCHEMA), pa.table(rows, schema=_SCHEMA)])
+    return pa.concat_tables([_rows(own), _rows(sent)])
 
 
-def shards(docs: DataFrame) -> DataFrame:
-    """The first level: the shards' texts, and their words with counts."""
+def shards(docs: DataFrame, parts: int) -> DataFrame:
+    """The first level: the shards' texts, and their words as n-grams."""
 
     def finished(name: str, lang: str, shard: _Shard) -> Iterator[pa.RecordBatch]:
         text = np.frombuffer(shard.tokens, np.int32)
-        words = pa.array(list(shard.numbers)[1:], pa.binary())
-        at = np.zeros(len(words) + 1, np.int64)
+        words = [b"", *list(shard.numbers)[1:]]
+        at = np.zeros(len(words), np.int64)
         at[text[::-1]] = np.arange(len(text) - 1, -1, -1)  # the first place is written last
-        n = np.bincount(text, minlength=len(words) + 1)
-        yield from _level_rows(name, lang, text, words, words, at[1:], n[1:]).to_batches(SLICE)
+        n = np.bincount(text, minlength=len(words))
+        yield from _state(name, lang, text, words, at[1:], n[1:], 1, parts).to_batches()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, open_shards = TaskContext.get().partitionId(), 0, {}
@@ -110,6 +162,37 @@ def shards(docs: DataFrame) -> DataFrame:
     return read.where("text <> ''").mapInArrow(cut, _LEVEL)
 
 
+def told(sent: DataFrame, min_count: int) -> DataFrame:
+    """Per shard and range: ``bits`` of its frequent n-grams, ``owned`` of those it gives the words
+    of, and the counts ``a`` of these over all shards."""
+
+    def add(own: pa.Table) -> pa.Table:
+        own = own.sort_by("shard")
+        hashes = [np.cumsum(_unpack(h.as_py(), "<u8"), dtype=np.uint64) for h in own["hashes"]]
+        ends = np.cumsum([len(h) for h in hashes])
+        hashes = np.concatenate(hashes)
+        checks = np.concatenate([_unpack(c.as_py(), "<u4") for c in own["checks"]])
+        counts = np.concatenate([_unpack(c.as_py(), "<i8") for c in own["counts"]])
+        order = np.lexsort((checks, hashes))  # stable, so a phrase's first row is that of its first shard
+        hashes, checks = hashes[order], checks[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])
+        firsts = np.flatnonzero(new)
+        totals = np.add.reduceat(counts[order], firsts)
+        often = np.zeros(len(order), bool)
+        often[order] = (totals >= min_count)[np.cumsum(new) - 1]
+        total = np.zeros(len(order), np.int64)
+        total[order[firsts]] = np.where(totals >= min_count, totals, 0)
+        bits, owned, a = [], [], []
+        for frequent, sums in zip(np.split(often, ends[:-1]), np.split(total, ends[:-1])):
+            bits.append(np.packbits(frequent).tobytes())
+            owned.append(np.packbits(sums > 0).tobytes())
+            a.append(sums[sums > 0].astype("<i8").tobytes())
+        columns = [own["shard"], own["part"], *(pa.array(x, pa.binary()) for x in (bits, owned, a)), pa.array(np.diff(ends, prepend=0), pa.int64())]
+        return pa.table(columns, names=["shard", "part", "bits", "owned", "a", "n"])
+
+    return sent.groupBy("part").applyInArrow(add, "shard string, part long, bits binary, owned binary, a binary, n long")
+
+
 class FmIndex:
     """Suffixes of a text of numbers, ordered by their first ``depth`` ones, and its BWT.
 
@@ -177,60 +260,58 @@ def shrunk(text: np.ndarray, places: np.ndarray, m: int) -> tuple[np.ndarray, np
     return out, moved
 
 
-def extended(level: DataFrame, alive: DataFrame, m: int) -> DataFrame:
-    """The next level: phrases of ``m + 1`` words made of two of the ``alive`` ones of ``m``."""
+def stepped(states: DataFrame, answers: DataFrame, m: int, parts: int, last: bool) -> DataFrame:
+    """The frequent phrases of m words, each from one shard, and the next level."""
 
-    def extend(own: pa.Table, grams: pa.Table) -> pa.Table:
-        if not own.num_rows or not grams.num_rows:
+    def step(own: pa.Table, answer: pa.Table) -> pa.Table:
+        if not own.num_rows or not answer.num_rows:
             return _SCHEMA.empty_table()
-        unpack = zstandard.ZstdDecompressor().decompress
-        text = np.frombuffer(unpack(own["text"][0].as_py()), "<i4")
-        words = pa.array([b"", *unpack(own["words"][0].as_py()).split(b"\n")], pa.binary())
-        at = grams["at"].to_numpy().astype(np.int64)
+        shard, lang = own["shard"][0].as_py(), own["lang"][0].as_py()
+        text, at = _unpack(own["text"][0].as_py(), "<i4"), _unpack(own["at"][0].as_py(), "<i4").astype(np.int64)
+        words = [b"", *zstandard.ZstdDecompressor().decompress(own["words"][0].as_py()).split(b"\n")]
+        answer = answer.sort_by("part")
+
+        def flags(column: str) -> np.ndarray:
+            parts = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()) for b, n in zip(answer[column], answer["n"])]
+            return np.concatenate(parts).astype(bool)
+
+        alive, mine = at[flags("bits")], at[flags("owned")]
+        counts = np.frombuffer(b"".join(answer["a"].to_pylist()), "<i8")
+        all_words = pa.array(words, pa.binary())
+        joined = [all_words.take(pa.array(text[mine + i])) for i in range(m)]
+        phrases = pc.binary_join_element_wise(*joined, pa.scalar(b" ", pa.binary())).cast(pa.string())
+        found = _rows({"lang": [lang] * len(mine), "phrase": phrases.to_pylist(), "a": counts.tolist()})
+        if last or not len(alive):
+            return found
         if m % 2:  # to the right: to the left in the reversed text
-            gram, word, start, counts, places = grow_left(text[::-1], len(text) - at - m, m)
+            _, _, start, n, places = grow_left(text[::-1], len(text) - alive - m, m)
             start, places = len(text) - start - m - 1, len(text) - places - m - 1
         else:
-            gram, word, start, counts, places = grow_left(text, at, m)
-        phrases = grams["phrase"].combine_chunks().cast(pa.binary()).take(pa.array(gram))
-        added = words.take(pa.array(word))
-        pair = (phrases, added) if m % 2 else (added, phrases)
+            _, _, start, n, places = grow_left(text, alive, m)
         text, moved = shrunk(text, places, m + 1)
         used, text = np.unique(text, return_inverse=True)  # 0 is always among them
-        rows = _level_rows(
-            own["shard"][0].as_py(), own["lang"][0].as_py(), text, words.take(pa.array(used[1:])),
-            pc.binary_join_element_wise(*pair, b" "), moved[start], counts,
-        )
-        return rows if len(gram) else _SCHEMA.empty_table()
+        return pa.concat_tables([found, _state(shard, lang, text, [words[i] for i in used.tolist()], moved[start], n, m + 1, parts)])
 
-    texts = level.where("text is not null").select("shard", "lang", "text", "words")
-    return texts.groupBy("shard").cogroup(alive.select("shard", "phrase", "at").groupBy("shard")).applyInArrow(extend, _LEVEL)
+    return states.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(step, _LEVEL)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 5, min_count: int = 100) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, length, a`` of all phrases of 1 to ``longest`` words that occur ``min_count``
     times; and ``lang, n``, the words of each language. Both are stored."""
-    tables, sizes = [], None
-    level, level_path = stored(shards(docs), "phrase-level", "zstd")
+    tables = []
+    parts = 1 + docs.rdd.getNumPartitions() // PARTITIONS_PER_PART
+    level, path = stored(shards(docs, parts), "phrase-level")
+    sizes, _ = stored(level.groupBy("lang").agg(F.sum("size").alias("n")).where("lang is not null"), "lang-words")
     for m in range(1, longest + 1):
-        grams = level.where("phrase is not null").select("shard", "lang", "phrase", "at", "n")
-        if sizes is None:
-            sizes, _ = stored(grams.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
-        # A shard sends a phrase once, so there is nothing to combine before the exchange.
-        total = F.sum("n").over(Window.partitionBy("lang", "phrase"))
-        alive, alive_path = stored(
-            grams.withColumn("a", total).where(F.col("a") >= min_count).drop("n"), "alive-phrases", "zstd"
-        )
-        table, _ = stored(
-            alive.groupBy("lang", "phrase").agg(F.first("a").alias("a")).withColumn("length", F.lit(m)), "phrases"
-        )
-        tables.append(table)
-        if m < longest:
-            before, (level, path) = level_path, stored(extended(level, alive, m), "phrase-level", "zstd")
-            discard(before, alive_path)
-            level_path = path
-        else:
-            discard(level_path, alive_path)
+        states = level.where("text is not null").select("shard", "lang", "text", "words", "at")
+        sent = level.where("part is not null").select("shard", "part", "hashes", "checks", "counts")
+        # No more n-grams of the next length than words in the texts.
+        parts = -(-(level.agg(F.sum("size")).first()[0] or 1) // PART_HASHES)
+        before, (level, path) = path, stored(stepped(states, told(sent, min_count), m, parts, m == longest), "phrase-level")
+        discard(before)
+        found = level.where("phrase is not null").select("lang", "phrase", "a", F.lit(m).alias("length"))
+        tables.append(stored(found, "phrases")[0])
+    discard(path)
     return reduce(DataFrame.unionByName, tables), sizes
 
 

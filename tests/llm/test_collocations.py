@@ -84,9 +84,10 @@ def test_backward_search_and_extensions_equal_a_scan():
             assert Counter(tuple(small[i : i + m + 1].tolist()) for i in range(len(small) - m) if 0 not in small[i : i + m + 1]) == {g: c for g, c in want.items() if 0 not in g}
 
 
-@pytest.mark.parametrize("shard_words", [3 << 20, 50])
-def test_phrases_equal_brute_force(spark, monkeypatch, shard_words):
+@pytest.mark.parametrize(("shard_words", "part_hashes"), [(3 << 20, 4 << 20), (400, 97)])
+def test_phrases_equal_brute_force(spark, monkeypatch, shard_words, part_hashes):
     monkeypatch.setattr(module, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(module, "PART_HASHES", part_hashes)
     rows = sentences(1, 300, ["new", "york", "the", "of", "à", "漢字", "x-y", "(z)", "\x1c"])
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "lang string, text string, phrase string, n int").repartition(3)
     for options in ({"min_count": 5}, {"min_count": 3, "share": 60}, {"min_count": 2, "longest": 3, "best": 20}):
@@ -100,6 +101,11 @@ def test_messy_rows_repeats_and_empty_tables(messy):
     assert collocations(messy, min_count=10**6).count() == 0
 
 
+def test_packed_numbers_come_back():
+    for kind, numbers in (("<u8", [0, 2**64 - 1, 5]), ("<i4", [-1, 0, 2**31 - 1]), ("<u4", [])):
+        assert module._unpack(module._pack(np.array(numbers, kind)), kind).tolist() == numbers
+
+
 def test_scores_beyond_64_bits_are_exact(spark):
     a = 3_037_000_500
     table = spark.createDataFrame([("en", "a b", a, None, 1, a, a + 1, 9 * a)], "lang string, phrase string, a long, longer long, k int, l long, r long, n long")
