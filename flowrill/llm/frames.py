@@ -6,10 +6,9 @@ an operator adds itself, do not get in its way. In a result the operator's colum
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from flowrill.session import shared_dir
+from flowrill.session import delete_path, shared_dir
 
 ROW = "row"
 
@@ -51,5 +50,4 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> tuple[Da
 def discard(*paths: str) -> None:
     """Delete tables of :func:`stored` that nothing reads any more."""
     for path in paths:
-        system, where = pafs.FileSystem.from_uri(path)
-        system.delete_dir(where)
+        delete_path(SparkSession.active(), path)

@@ -121,8 +121,8 @@ def fit_pairs(
 
 
 def held_out(doc_id: Column) -> Column:
-    """Every fifth document, by a checksum of its id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Every fifth document, by a checksum of its id; a null id counts as an empty one, held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_labelled: int = MAX_LABELLED) -> QualityModel:

@@ -38,3 +38,28 @@ def test_mixing_keeps_columns_named_as_its_own(spark, messy, sf_dir):
     assert mixed.columns == messy.columns
     rows = mixed.collect()
     assert rows and {(r.copy, r.order_key) for r in rows} == {("x", "x")}
+
+
+def tables(docs, folder, labels, benchmark):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    docs.sparkSession.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    docs.sparkSession.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_empty_and_messy_tables(spark, make_docs, messy, tmp_path):
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    empty = corpus_pipeline.run(spark, tables(make_docs(), tmp_path / "empty", [], []))
+    assert empty.columns == columns and empty.count() == 0
+    sf_dir = tables(messy, tmp_path / "messy", [(1, 1), (2, 1), (5, 1), (8, 0)], [(0, "a text without id"), (1, None)])
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert all(r.n_tokens > 0 and r.ids_crc32 is not None for r in rows)
+    spans = sorted((r.start, r.n_tokens) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+
+
+def test_a_stage_that_drops_everything(spark, make_docs, tmp_path):
+    """All documents are benchmark texts."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = make_docs(*[(i, f"{item} {i}") for i in range(5)])
+    assert corpus_pipeline.run(spark, tables(docs, tmp_path / "t", [(0, 1), (1, 1)], [(7, item)])).count() == 0

@@ -42,6 +42,34 @@ def test_pairs_recover_an_order():
     assert abs((model.scores(features) >= 0.3).mean() - label.mean()) < 0.01
 
 
+def test_weights_are_those_of_another_optimiser():
+    """Every row meets rows of the other label in turn; small steps uphill on the pairs' loss."""
+    rng = np.random.default_rng(8)
+    features = rng.normal(size=(60, 3)) * [1, 10, 0.1] + 5
+    label = (features[:, 0] + rng.normal(size=60) > 5.3).astype(int)
+    model = fit_pairs(features, label, pairs_each=4, penalty=1.0)
+    standard = (features - features.mean(axis=0)) / features.std(axis=0)
+    one, zero = np.flatnonzero(label), np.flatnonzero(label == 0)
+    few, many = sorted((one, zero), key=len)
+    step = 1 + len(few) // 4
+    pairs = [(many[t % len(many)], few[(t + j * step) % len(few)]) for j in range(4) for t in range(len(many))]
+    better, worse = zip(*[(a, b) if label[a] else (b, a) for a, b in pairs])
+    difference, weights = standard[list(better)] - standard[list(worse)], np.zeros(3)
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-difference @ weights))
+        weights += 0.002 * (difference.T @ (1 - p) - weights)
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    assert model.threshold == np.quantile(standard @ weights, len(zero) / 60) or np.isclose(
+        model.threshold, np.quantile(standard @ weights, len(zero) / 60), atol=1e-5
+    )
+
+
+def test_a_null_id_is_held_out(spark, messy):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = quality_scores(messy, labels).collect()
+    assert {r.held_out for r in rows if r.doc_id is None} == {True} and all(r.held_out is not None for r in rows)
+
+
 def test_odd_rows(spark, messy, make_docs):
     for rows in ([], [(1, 1)], [(1, 1), (2, 0), (3, None), (None, 1), (99, 0), (1, 1), (5, 0)]):
         labels = spark.createDataFrame(rows, "doc_id long, quality int")
