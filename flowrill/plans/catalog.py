@@ -1620,7 +1620,7 @@ def _(flows, spark, sf_dir):
     )
     try:
         job.processAllAvailable()
-        taken = [b for p in job.recentProgress if (b := _bytes_taken(p["sources"][0]))]
+        taken = [b for p in job.recentProgress if (b := _bytes_taken(json.loads(p.json)["sources"][0]))]
     finally:
         job.stop()
     # A line longer than the limit would be a batch of its own; these have a few hundred bytes.
@@ -1633,8 +1633,14 @@ def _(flows, spark, sf_dir):
 
 
 def _bytes_taken(source: dict) -> int:
-    """Bytes of all files between a batch's two offsets."""
-    start, end = (json.loads(o) if isinstance(o, str) else o or {} for o in (source["startOffset"], source["endOffset"]))
+    """Bytes of all files between a batch's two offsets; the first batch has no start."""
+
+    def offset(shown) -> dict:
+        if isinstance(shown, str):
+            return json.loads(shown) if shown.startswith("{") else {}
+        return shown or {}
+
+    start, end = offset(source["startOffset"]), offset(source["endOffset"])
     return sum(v[0] - start.get(k, [0])[0] for k, v in end.items())
 
 

@@ -1,4 +1,7 @@
-"""Every registered query against its SQL counterpart on the small tables."""
+"""Every registered query against its SQL counterpart on the small tables.
+
+Queries that train for long are left to the checker (``tools/check_queries.py``).
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ def con(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - SLOW))
 def test_same_as_sql(spark, con, sf_dir, name):
     df = contract.queries()[name](spark, sf_dir)
     result = compare(df, con.execute(contract.oracle_sql()[name]))
