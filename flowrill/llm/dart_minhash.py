@@ -5,9 +5,10 @@ element alone. A set owns the darts below its elements' weights. Each dart is ha
 coordinate of the signature, and a coordinate keeps the owned dart of earliest rank. Two sets agree
 in a coordinate with a probability of their weighted Jaccard similarity.
 
-Darts are thrown region by region: weights [0, 1), [1, 2), [2, 4), ... and ranks [0, 1), [1, 2),
-[2, 4), ... Bands of rank are opened until all coordinates are filled, so a sparse set costs about
-its size plus k log k darts.
+Darts are thrown region by region: weights [0, 1), [1, 2), [2, 4), ... and ranks [0, 1/8), [1/8, 1),
+[1, 2), [2, 4), ... Bands of rank are opened until all coordinates are filled, so a sparse set costs
+about its size plus k log k darts, and one of many elements few darts more than that. Many sets are
+signed at once, which changes no signature.
 """
 
 from __future__ import annotations
@@ -39,52 +40,63 @@ def _poisson(mean: float) -> np.ndarray:
     return np.cumsum(terms)
 
 
-def _band(number: int) -> tuple[float, float]:
+def _doubling(number: int) -> tuple[float, float]:
     """Start and width of a region: [0, 1), [1, 2), [2, 4), [4, 8), ..."""
     return (0.0, 1.0) if number == 0 else (2.0 ** (number - 1), 2.0 ** (number - 1))
 
 
+def _ranks(number: int) -> tuple[float, float]:
+    """The first of these regions is cut at 1/8."""
+    return ((0.0, 0.125), (0.125, 0.875))[number] if number < 2 else _doubling(number - 1)
+
+
 class DartMinHash:
     def __init__(self, coordinates: int, seed: int = 9) -> None:
         self.k = coordinates
         self.seed = seed
 
-    def _darts(self, elements, weights, level: int, ranks: int):
-        """Identity and rank of the owned darts of one region of weight and rank."""
-        low, width = _band(level)
-        first, height = _band(ranks)
-        inside = weights > low
-        if not inside.all():
-            elements, weights = elements[inside], weights[inside]
+    def _darts(self, elements, weights, owners, level: int, ranks: int):
+        """Identity, rank and owner of the owned darts of one region of weight and rank."""
+        low, width = _doubling(level)
+        first, height = _ranks(ranks)
+        if level:
+            inside = weights > low
+            elements, weights, owners = elements[inside], weights[inside], owners[inside]
         region = mix(elements + np.uint64(self.seed * 1_000_003 + level * 1009 + ranks + 1))
         n = np.searchsorted(_poisson(width * height), _uniform(region), side="right")
         starts = np.cumsum(n) - n
         index = np.arange(int(n.sum())) - np.repeat(starts, n)
         dart = mix(np.repeat(region, n) + (index.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        owner = np.repeat(owners, n)
         if width > 1 or (weights < low + width).any():
             owned = low + width * _uniform(mix(dart ^ np.uint64(1))) < np.repeat(weights, n)
-            dart = dart[owned]
-        return dart, first + height * _uniform(mix(dart ^ np.uint64(2)))
-
-    def signature(self, elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """``k`` dart identities of a weighted set (distinct uint64 elements, weights above 0)."""
-        out = np.zeros(self.k, np.uint64)
-        if not len(elements):
-            return out
-        empty = np.ones(self.k, bool)
-        levels = 1 + max(0, math.ceil(math.log2(float(weights.max()))))
+            dart, owner = dart[owned], owner[owned]
+        return dart, first + height * _uniform(mix(dart ^ np.uint64(2))), owner
+
+    def signatures(self, elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A row of ``k`` dart identities for each of several weighted sets, given one after the
+        other (distinct uint64 elements, weights above 0); zeros for an empty set."""
+        found = np.zeros(len(sizes) * self.k, np.uint64)
+        empty = np.repeat(np.asarray(sizes) > 0, self.k)
+        owners = np.repeat(np.arange(len(sizes)), sizes)
         ranks = 0
         while empty.any():
-            parts = [self._darts(elements, weights, level, ranks) for level in range(levels)]
-            dart, rank = (np.concatenate(p) for p in zip(*parts))
-            coordinate = (mix(dart ^ np.uint64(3)) % np.uint64(self.k)).astype(np.int64)
+            levels = 1 + max(0, math.ceil(math.log2(float(weights.max()))))
+            parts = [self._darts(elements, weights, owners, level, ranks) for level in range(levels)]
+            dart, rank, owner = (np.concatenate(p) for p in zip(*parts))
+            place = owner * self.k + (mix(dart ^ np.uint64(3)) % np.uint64(self.k)).astype(np.int64)
+            free = empty[place]
+            dart, rank, place = dart[free], rank[free], place[free]
             latest_first = np.argsort(-rank, kind="stable")
-            found = np.zeros(self.k, np.uint64)
-            hit = np.zeros(self.k, bool)
-            found[coordinate[latest_first]] = dart[latest_first]
-            hit[coordinate] = True
-            new = empty & hit
-            out[new] = found[new]
-            empty &= ~hit
+            found[place[latest_first]] = dart[latest_first]
+            empty[place] = False
             ranks += 1
-        return out
+            open_sets = empty.reshape(-1, self.k).any(axis=1)
+            if not open_sets.all():
+                left = open_sets[owners]
+                elements, weights, owners = elements[left], weights[left], owners[left]
+        return found.reshape(-1, self.k)
+
+    def signature(self, elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The signature of one set."""
+        return self.signatures(elements, weights, np.array([len(elements)]))[0]

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from flowrill.llm.dart_minhash import DartMinHash
-from flowrill.llm.near_dups import drop_near_copies, near_classes, occurrence_codes, shingle_counts
+from flowrill.llm.near_dups import drop_near_copies, near_classes, occurrence_codes, outlines, shingle_counts
 from flowrill.llm.words import words
 
 
@@ -97,3 +97,41 @@ def test_odd_rows(messy, make_docs):
     assert kept.count() == brute(rows)[1]
     assert Counter(r.doc_id for r in kept.collect() if r.text == "repeated row") == {5: 1}
     assert near_classes(make_docs()).count() == 0 and drop_near_copies(make_docs()).count() == 0
+
+
+def test_many_sets_are_signed_as_one_by_one():
+    rng = np.random.default_rng(4)
+    sets = [(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), None) for n in (1, 0, 3, 700, 20_000, 2)]
+    sets = [(e, rng.integers(1, 9, len(e)).astype(float)) for e, _ in sets]
+    dart = DartMinHash(192)
+    rows = dart.signatures(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]), np.array([len(e) for e, _ in sets]))
+    assert [r.tolist() for r in rows] == [dart.signature(e, w).tolist() if len(e) else [0] * 192 for e, w in sets]
+
+
+def test_few_darts_are_thrown_for_a_large_set(monkeypatch):
+    thrown = []
+    own = DartMinHash._darts
+    monkeypatch.setattr(DartMinHash, "_darts", lambda self, *a: thrown.append(own(self, *a)) or thrown[-1])
+    elements = np.random.default_rng(6).integers(0, 2**63, 20_000).astype(np.uint64)
+    DartMinHash(192).signature(elements, np.ones(20_000))
+    assert sum(len(dart) for dart, _, _ in thrown) < 4000
+
+
+def test_outlines_never_rule_out_a_link():
+    rng = random.Random(7)
+    for _ in range(200):
+        a = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 300))]
+        b = a[:]
+        for _ in range(rng.randrange(0, 20)):
+            b[rng.randrange(len(b))] = f"v{rng.randrange(400)}"
+        codes = [occurrence_codes(*shingle_counts(" ".join(x))) for x in (a, b)]
+        bits = [np.unpackbits(outlines(c, np.array([len(c)])).view(np.uint8)) for c in codes]
+        total, common = sum(map(len, codes)), len(set(codes[0].tolist()) & set(codes[1].tolist()))
+        assert (bits[0] != bits[1]).sum() <= total - 2 * common
+        if 9 * common >= 4 * total:
+            assert 9 * (bits[0] != bits[1]).sum() <= total
+
+
+def test_exact_comparison_gives_the_same_classes(docs_table):
+    plain, exact = (near_classes(docs_table, deviations=d).select("doc_id", "class_id").collect() for d in (4.0, None))
+    assert Counter(plain) == Counter(exact)
