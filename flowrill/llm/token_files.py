@@ -12,6 +12,7 @@ make a frame of their own. An empty table gives no files and an empty index.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -45,12 +46,42 @@ class Slots(dict):
         return slot
 
 
+# How a tokenizer file normalises and cuts for which texts are cut at blanks here.
+_NORMALIZERS = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]
+_CUTS = [
+    {
+        "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed", "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the ids of a text are those of its chunks between blanks, one after the other.
+
+    Holds for byte-level tokenizers that lower-case, cut words from marks, drop white space and let
+    no token span it. Of any other file nothing is assumed.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    own = [(spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers")]
+    plain = all(
+        not any(token.get(flag) for flag in ("lstrip", "rstrip", "single_word")) and not any(map(str.isspace, token["content"]))
+        for token in spec.get("added_tokens") or []
+    )
+    model = spec["model"]
+    bpe = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback"))
+    return own == [_NORMALIZERS, _CUTS] and plain and bpe
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, each distinct chunk between blanks encoded once.
 
-    Valid for byte-level tokenizers that lower-case, cut words from marks, drop white space and let
-    no token span it: the ids of a text are then the ids of its chunks one after the other. More than
-    ``limit`` chunks are not kept from one block of texts to the next; that changes no result.
+    Texts are encoded whole where :func:`cuts_at_blanks` does not hold. Beyond ``limit`` chunks those
+    used once are forgotten, and of the others all but the most used half; that changes no result.
     """
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
@@ -58,19 +89,35 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunk = cuts_at_blanks(path)
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model
         self.limit = limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.slots = Slots()
         self.pieces: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.starts = np.zeros(1024, np.int64)
         self.counts = np.zeros(1024, np.int64)
+        self.uses = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep the chunks that were used most."""
+        names, uses = list(self.slots), self.uses[: len(self.slots)]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: self.limit // 2]])
+        counts = self.counts[kept]
+        ends = np.cumsum(counts)
+        self.ids = self.ids[np.arange(int(counts.sum())) + np.repeat(self.starts[kept] - (ends - counts), counts)]
+        self.used = len(self.ids)
+        self.ids = _room(self.ids, 4096)
+        self.starts, self.counts, self.uses = (_room(x, 1024) for x in (ends - counts, counts, uses[kept] // 2))
+        self.slots = Slots()
+        for slot, at in enumerate(kept.tolist()):
+            dict.__setitem__(self.slots, names[at], slot)
+
     def _piece(self, text: str) -> list[int]:
         """Ids of a word or of a run of marks. What is only letters after normalising is one
         pre-token, so the model may take its bytes directly."""
@@ -80,25 +127,27 @@ class ChunkEncoder:
         else:
             mapped = plain if plain.isascii() else self.as_bytes.pre_tokenize_str(plain)[0][0]
             found = [t.id for t in self.model.tokenize(mapped)]
-        self.pieces[text] = found
+        return found
+
+    def _known(self, text: str) -> list[int]:
+        """Ids of a piece; pieces not asked for in a generation are forgotten."""
+        found = self.pieces.get(text)
+        if found is None:
+            found = self.older.get(text)
+            if found is None:
+                found = self._piece(text)
+            if len(self.pieces) > self.limit // 2:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[text] = found
         return found
 
     def _chunk(self, chunk: str) -> list[int]:
         """Ids of a chunk: of its word and the marks behind it if it is of that form."""
         word = chunk.rstrip(_MARKS)
-        known = self.pieces
         if not word.isalpha():
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if word.isascii():
-            word = word.lower()
-        found = known.get(word)
-        if found is None:
-            found = self._piece(word)
-        if len(word) < len(chunk):
-            marks = chunk[len(word) :]
-            behind = known.get(marks)
-            found = found + (self._piece(marks) if behind is None else behind)
-        return found
+        found = self._known(word.lower() if word.isascii() else word)
+        return found + self._known(chunk[len(word) :]) if len(word) < len(chunk) else found
 
     def _learn(self) -> None:
         """Encode the chunks not met before and append them to the arrays."""
@@ -108,7 +157,7 @@ class ChunkEncoder:
         slots.new = []
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        self.starts, self.counts = _room(self.starts, end), _room(self.counts, end)
+        self.starts, self.counts, self.uses = (_room(x, end) for x in (self.starts, self.counts, self.uses))
         self.ids = _room(self.ids, self.used + flat.size)
         self.starts[first:end] = self.used + np.cumsum(counts) - counts
         self.counts[first:end] = counts
@@ -117,8 +166,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_chunk:
+            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [np.array(x.ids, np.uint32) for x in found]
         if len(self.slots) > self.limit:
-            self._clear()
+            self._forget()
         chunks = [text.split(" ") for text in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         at = np.fromiter(
@@ -126,6 +178,7 @@ class ChunkEncoder:
         )
         if self.slots.new:
             self._learn()
+        self.uses[: len(self.slots)] += np.bincount(at, minlength=len(self.slots))
         counts = self.counts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if ends.size else 0
@@ -134,10 +187,10 @@ class ChunkEncoder:
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
-    """The array with space for ``size`` numbers, doubled as often as needed."""
-    while len(array) < size:
-        array = np.concatenate([array, np.zeros_like(array)])
-    return array
+    """The array with space for ``size`` numbers, at least doubled if it has not."""
+    if len(array) >= size:
+        return array
+    return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -240,26 +293,33 @@ def read_token_files(index: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = FrameCache()
         head = struct.calcsize(_HEAD)
-        seen, table, ids, firsts = None, None, None, None
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for row in batch.to_pylist():
-                if seen != (row["file"], row["frame"]):
-                    seen = (row["file"], row["frame"])
-                    data = cache.get(*seen)
-                    n, width = struct.unpack_from(_HEAD, data)
-                    table = np.frombuffer(data, _DOC, n, head)
-                    ids = np.frombuffer(data, f"<u{width}", -1, head + table.nbytes)
-                    firsts = np.cumsum(table["n"]) - table["n"]
-                doc = table[row["slot"]]
-                first = firsts[row["slot"]]
-                own = ids[first : first + doc["n"]].astype("<u4")
-                out[0].append(None if doc["null"] else int(doc["doc_id"]))
-                out[1].append(int(doc["start"]) + row["base"])
-                out[2].append(len(own))
-                out[3].append(zlib.crc32(own.tobytes()))
+            files, frames = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            slots, bases = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ids_of, starts, sizes, sums, nulls = [], [], [], [], []
+            cuts = [i for i in range(len(files)) if not i or files[i] != files[i - 1] or frames[i] != frames[i - 1]]
+            for low, high in zip(cuts, [*cuts[1:], len(files)]):
+                data = cache.get(files[low], int(frames[low]))
+                n, width = struct.unpack_from(_HEAD, data)
+                table = np.frombuffer(data, _DOC, n, head)
+                ids = memoryview(np.frombuffer(data, f"<u{width}", -1, head + table.nbytes).astype("<u4")).cast("B")
+                ends = np.cumsum(table["n"])
+                own = slots[low:high]
+                docs = table[own]
+                ids_of.append(docs["doc_id"])
+                nulls.append(docs["null"].astype(bool))
+                starts.append(docs["start"] + bases[low:high])
+                sizes.append(docs["n"])
+                stops = ends[own]
+                sums += [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((stops - docs["n"]).tolist(), stops.tolist())]
+            if not cuts:
+                continue
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in out],
+                [
+                    pa.array(np.concatenate(ids_of), pa.int64(), mask=np.concatenate(nulls)),
+                    pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(sizes), pa.int64()),
+                    pa.array(sums, pa.int64()),
+                ],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 

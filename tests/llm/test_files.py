@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 from flowrill.llm.seekable import SeekableReader, SeekableWriter
-from flowrill.llm.token_files import ChunkEncoder, read_token_files, token_id_output, with_base, write_token_files
+from flowrill.llm.token_files import ChunkEncoder, cuts_at_blanks, read_token_files, token_id_output, with_base, write_token_files
 from flowrill.llm.warc import archive, parse_record, read_records
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +71,35 @@ def test_chunks_are_encoded_as_the_library_does():
             assert [ids.tolist() for ids in encoder.encode(block)] == expected
 
 
+def test_other_tokenizers_encode_whole_texts(make_docs, tmp_path):
+    """A file whose tokens hold the blank before a word: chunks alone would give other ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert cuts_at_blanks(TOKENIZER) and not cuts_at_blanks(path)
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["two  words, and a third", "Ünï 漢字\n x", "", "again two words"]
+    assert tokenizer.encode("two words").ids != tokenizer.encode("two").ids + tokenizer.encode("words").ids
+    assert [x.tolist() for x in ChunkEncoder(path).encode(texts)] == [tokenizer.encode(t).ids for t in texts]
+    rows = list(enumerate(texts))
+    got = sorted(token_id_output(make_docs(*rows), str(tmp_path / "t"), path).collect())
+    ids = [np.array([*tokenizer.encode(t).ids, 1], "<u4") for t in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in ids]
+
+
+def test_changed_rules_are_noticed(tmp_path):
+    spec = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "a b", "id": 0}]}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        assert not cuts_at_blanks(str(tmp_path / "t.json"))
+
+
+def test_forgotten_chunks_change_nothing():
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), ChunkEncoder(TOKENIZER, limit=40)
+    for i in range(60):
+        texts = [" ".join(f"Word{j % 7} own{i}x, the, The. of {'abc' * (j % 3)}{i}" for j in range(9)), "the of the"]
+        assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.slots) < 200
+
+
 def test_token_files_of_odd_rows(messy, make_docs, tmp_path):
     got = token_id_output(messy, str(tmp_path / "t"), TOKENIZER).collect()
     assert len(got) == messy.count()
