@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowrill.operators.clean import coerce_flows
 from flowrill.schema import CANONICAL_COLUMNS
@@ -31,6 +31,20 @@ def parse_lines(lines: DataFrame, columns: list[str] | None = None) -> DataFrame
     return parsed.withColumn("malformed", F.coalesce(wrong, F.lit(True)))
 
 
+def stored_lines(spark: SparkSession, parsed: DataFrame, path: str) -> DataFrame:
+    """The parsed lines from a table, written here, that holds what is read of them later.
+
+    Of a well-formed line that is the fields, of a malformed one the line. Reading it takes only the
+    columns asked for, and the session given adapts plans to sizes.
+    """
+    good = ~F.col("malformed")
+    kept = parsed.select(
+        *ORIGIN, "malformed", F.when(good, F.col("fields")).alias("fields"), F.when(~good, F.col("line")).alias("line")
+    )
+    kept.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(kept.schema).parquet(path)
+
+
 def malformed_lines(parsed: DataFrame) -> DataFrame:
     """Lines for the quarantine table, with where they came from."""
     return parsed.where("malformed").select(*ORIGIN, "line")

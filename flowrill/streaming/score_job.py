@@ -2,24 +2,24 @@
 
 Progress lives in the streaming checkpoint and a batch is written under its batch number, replacing
 what an interrupted attempt may have left. A batch that fails is retried from the same positions; a
-malformed line goes to the quarantine table and does not stop the job.
+malformed line goes to the quarantine table and does not stop the job. A batch is parsed once, into a
+table next to the checkpoint's log, which the outputs are made of; executors hold none of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowrill.functions.numbers import text_to_double
 from flowrill.plans.scoring import linear_label, scorable, score_flows
 from flowrill.schema import CANONICAL_COLUMNS
-from flowrill.session import path_exists
+from flowrill.session import delete_path, path_exists
 from flowrill.sources.day_store import write_analysed
 from flowrill.sources.tail import tail_captures
-from flowrill.streaming.ingest import malformed_lines, parse_lines, typed_lines
+from flowrill.streaming.ingest import malformed_lines, parse_lines, stored_lines, typed_lines
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -79,14 +79,15 @@ def start_scoring(
     parsed = parse_lines(lines, columns)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        stored = f"{checkpoint}/parsed/{batch_id}"
         try:
-            write_analysed(scorer(typed_lines(batch, columns)), output, batch_id, by_day)
-            _write_batch(malformed_lines(batch), quarantine, batch_id)
+            lines = stored_lines(spark, batch, stored)
+            write_analysed(scorer(typed_lines(lines, columns)), output, batch_id, by_day)
+            _write_batch(malformed_lines(lines), quarantine, batch_id)
             if metrics is not None:
-                _write_batch(_counters(batch), metrics, batch_id)
+                _write_batch(_counters(lines), metrics, batch_id)
         finally:
-            batch.unpersist()
+            delete_path(spark, stored)
 
     return (
         parsed.writeStream.queryName(name)

@@ -101,6 +101,22 @@ def test_bad_lines_are_kept_apart_and_do_not_stop_the_job(spark, job):
     assert (metrics.rows_in, metrics.malformed, metrics.protocol_zero) == (6, 2, 0)
 
 
+def test_executors_hold_no_batch_and_its_table_is_deleted(spark, job):
+    job.append(HEADER + "\n" + row(1) + "\nshort,line\n" + row(2, protocol=0) + "\n")
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before, during = set(held()), []
+
+    def scorer(flows):
+        during.append(set(held()) - before)
+        return score_job.linear_scorer(flows)
+
+    job.run(scorer)
+    assert during == [set()]
+    assert job.ids() == ["flow-1"]
+    assert [r["line"] for r in spark.read.parquet(str(job.base / "bad")).collect()] == ["short,line"]
+    assert not list((job.base / "checkpoint" / "parsed").glob("[!.]*"))
+
+
 def test_metrics_keep_every_batch(spark, job):
     assert score_job.batch_metrics(spark, str(job.base / "metrics")).count() == 0
     for i in range(4):
