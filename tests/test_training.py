@@ -354,3 +354,23 @@ def test_gaussian_bayes_matches_the_built_in(two_class):
 
 def test_short_names_are_unique():
     assert len({short_name(c) for c in CANONICAL_COLUMNS}) == len(CANONICAL_COLUMNS) == 84
+
+
+def test_training_rows_are_stored_in_few_partitions(spark, make_flows):
+    flows = make_flows(*[{"label": "DoS" if i % 3 else "BENIGN", "flow_duration": float(i)} for i in range(60)])
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    many = training.stored_training_rows(spark, flows.repartition(40), ["BENIGN", "DoS"])
+    assert many.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+    wanted = training.training_rows(flows, ["BENIGN", "DoS"])
+    assert many.columns == wanted.columns
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_tasks_of_a_fit_grow_with_the_rows_only(spark, tmp_path):
+    spark.range(100).repartition(30).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.option("maxPartitionBytes", "1").parquet(str(tmp_path / "rows"))
+    cores = spark.sparkContext.defaultParallelism
+    assert training.in_tasks(rows).rdd.getNumPartitions() <= cores
+    assert training.in_tasks(rows, 5).rdd.getNumPartitions() <= max(cores, 20)
+    assert training.in_tasks(rows, 5).count() == 100
