@@ -1,8 +1,8 @@
 """Trees fitted level by level from histograms: second-order boosting, and a decision tree.
 
 Features are cut into bins once. A level of all trees of a round is one aggregate: sums per tree,
-node, feature and bin, combined map-side, whose result has a fixed number of rows and decides the
-splits. Rows are never sorted, collected or moved to a node; where a row is follows from the trees.
+node, feature and bin, made of arrays in a task and then added up, whose result has a fixed number of
+rows and decides the splits. Rows are never sorted, collected or moved to a node; where a row is follows from the trees.
 
 Missing values are in the first bin. Equal gains go to the first feature and bin. Nodes without a
 gain stay leaves.
@@ -15,6 +15,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowrill.session import delete_path, shared_dir
@@ -78,6 +80,51 @@ def _sums(keys: np.ndarray, values: np.ndarray, n_bins: int) -> np.ndarray:
     return out
 
 
+_HISTOGRAM = "k int, node int, feature int, bin int, g double, h double"
+
+
+def _histograms(trees: list[Tree], fringe: list[set[int]], n_features: int, n_bins: int):
+    """For mapInArrow over ``bins, g, h``: a task's sums by tree, open node, feature and bin."""
+    shapes = []
+    for tree, nodes in zip(trees, fringe):
+        inner = [np.array([getattr(n, name) for n in tree]) for name in ("feature", "cut", "left", "right")]
+        place = np.full(len(tree), -1)
+        place[sorted(nodes)] = np.arange(len(nodes))
+        shapes.append((inner, place, sorted(nodes)))
+
+    def sums(batches):
+        cells = n_features * n_bins
+        totals = [np.zeros((3, len(nodes) * cells)) for *_, nodes in shapes]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, n_features)
+            g, h = (
+                pc.fill_null(batch.column(name).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for name in ("g", "h")
+            )
+            row = np.arange(batch.num_rows)
+            for k, ((feature, cut, left, right), place, _) in enumerate(shapes):
+                at = np.zeros(batch.num_rows, int)
+                while (feature[at] >= 0).any():
+                    below = bins[row, np.maximum(feature[at], 0)] <= cut[at]
+                    at = np.where(feature[at] >= 0, np.where(below, left[at], right[at]), at)
+                own = np.flatnonzero(place[at] >= 0)
+                cell = (place[at[own]] * cells)[:, None] + np.arange(n_features) * n_bins + bins[own]
+                for i, values in enumerate((None, g[own, k], h[own, k])):
+                    weights = None if values is None else np.repeat(values, n_features)
+                    totals[k][i] += np.bincount(cell.ravel(), weights, totals[k].shape[1])
+        for k, (*_, nodes) in enumerate(shapes):
+            met = np.flatnonzero(totals[k][0])
+            columns = [np.full(len(met), k), np.array(nodes, int)[met // cells], met % cells // n_bins, met % n_bins]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int32()) for c in columns), *(pa.array(t[met]) for t in totals[k][1:])],
+                ["k", "node", "feature", "bin", "g", "h"],
+            )
+
+    return sums
+
+
 @dataclass
 class BoostedTrees:
     """Summed trees per class (one for two classes), each round's leaves weighed by ``rate``."""
@@ -168,10 +215,8 @@ def fit_boosted(
         trees = [[Node()] for _ in range(outputs)]
         fringe = [{0} for _ in range(outputs)]
         for _ in range(depth):
-            nodes = F.array(*[F.expr(tree_sql(t, _open(f))) for t, f in zip(trees, fringe)])
-            placed = table.select("bins", F.posexplode(F.arrays_zip(nodes.alias("node"), "g", "h")).alias("k", "own"))
             found = (
-                placed.where("own.node >= 0").select("k", "own.*", F.posexplode("bins").alias("feature", "bin"))
+                table.select("bins", "g", "h").mapInArrow(_histograms(trees, fringe, len(features), bins), _HISTOGRAM)
                 .groupBy("k", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             )  # at most outputs x nodes x features x bins rows
             keys = np.array([r[:4] for r in found], int).reshape(-1, 4)

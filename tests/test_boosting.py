@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from flowrill.operators import boosting
 from flowrill.operators.boosting import BoostedTrees, bin_edges, binned, fit_boosted, fit_tree
 
 FEATURES = ["x0", "x1", "x2"]
@@ -127,3 +129,29 @@ def test_constant_and_empty_inputs(table):
     assert bin_edges(table.limit(0), FEATURES) == [[], [], []]
     empty = fit_boosted(table.limit(0), FEATURES, "label_code", rounds=1)
     assert {r.prediction for r in empty.predict(table, "id").collect()} == {0}
+
+
+def test_a_task_sums_a_level_of_all_trees_in_arrays():
+    rng = np.random.default_rng(7)
+    n, features, n_bins = 500, 3, 4
+    bins, g, h = rng.integers(0, n_bins, (n, features)), rng.normal(size=(n, 2)), rng.random((n, 2))
+    split = [boosting.Node(0.0, 1, 2, 1, 2), boosting.Node(0.0), boosting.Node(0.0)]
+    batch = pa.RecordBatch.from_pydict({
+        "bins": pa.array(bins.tolist(), pa.list_(pa.int32())),
+        "g": pa.array([[None, r[1]] if i == 0 else list(r) for i, r in enumerate(g)], pa.list_(pa.float64())),
+        "h": pa.array(h.tolist(), pa.list_(pa.float64())),
+    })
+    g[0, 0] = 0.0  # a null slope counts as none
+    wanted = {}
+    for i in range(n):
+        for k, node in ((0, 0), (1, 1 if bins[i, 1] <= 2 else 2)):
+            for f in range(features):
+                if (k, node) != (1, 1):  # a closed node
+                    at = wanted.setdefault((k, node, f, int(bins[i, f])), [0.0, 0.0])
+                    at[0] += g[i, k]
+                    at[1] += h[i, k]
+    parts = [batch.slice(0, 200), batch.slice(200, 0), batch.slice(200)]
+    sums = boosting._histograms([[boosting.Node()], split], [{0}, {2}], features, n_bins)
+    found = {tuple(r.values())[:4]: tuple(r.values())[4:] for out in sums(iter(parts)) for r in out.to_pylist()}
+    assert found.keys() == wanted.keys()
+    assert all(np.allclose(found[key], wanted[key]) for key in wanted)
