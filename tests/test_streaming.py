@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from flowrill.plans.day_states import STATES, merged, state_rows
 from flowrill.schema import CANONICAL_COLUMNS, short_name
 from flowrill.sources.day_store import write_analysed
 from flowrill.sources.tail import FORGOTTEN, CaptureTailReader, tail_captures
@@ -300,6 +301,22 @@ def test_refresh_follows_new_batches_only(spark, make_flows, tmp_path):
     assert {r["attack_type"]: r["flows"] for r in stats} == {"BENIGN": 2, "DoS": 1}
 
 
+def test_a_batch_is_merged_in_one_exchange_and_old_states_go(spark, make_flows, tmp_path):
+    views, days = str(tmp_path / "views"), ["2024-01-15T10:00:00", "2024-01-16T10:00:00"]
+    for batch, ts in enumerate([days, days, days[:1]]):
+        refresh.publish(spark, make_flows(*[{"ts": t, "flow_id": f"{batch}-{t}"} for t in ts]), views, batch, "g")
+        kept = {n: set(refresh.child_names(spark, f"{views}/_state/{n}")) for n in STATES}
+        # The second day's states are of the second version still.
+        assert all(k == {f"version={v}" for v in {min(batch, 1), batch}} for k in kept.values())
+        assert not refresh.child_names(spark, f"{views}/_batch")
+    counts = {r["flow_date"].day: r["total_connections"] for r in refresh.read_days(spark, views, "network_summary").collect()}
+    assert counts == {15: 1, 16: 1}
+    for name in STATES:
+        rows = state_rows(make_flows({}), name)
+        plan = merged(rows.unionByName(rows), name)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_live_updates_over_several_batches(spark, make_flows, tmp_path):
     source = str(tmp_path / "src")
     parts = [
