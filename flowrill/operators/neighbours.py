@@ -4,7 +4,7 @@ Training points are divided into leaves by a small tree built from a bounded sam
 gives exact results. A query is first answered inside its own leaf, which bounds how far its true
 neighbours can be. It then visits only the leaves whose bounding box lies within that bound. Leaves
 are processed in blocks of bounded size, so neither a crowded leaf nor a popular region ever ends up
-in one task, and a block emits k candidates per query instead of pairs.
+in one task, and a block emits at most k candidates per query instead of pairs, none beyond the bound.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowrill.functions.hashing import seeded_digest
+from flowrill.session import delete_path, shared_dir
 
 # Executors get the block functions by value, whether or not this package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,7 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SAMPLE_ROWS = 20_000
 MAX_LEAVES = 1024
 POINTS_PER_BLOCK = 4096
-QUERIES_PER_BLOCK = 2048
+# The points of a leaf are sent once for each block of the queries that visit it.
+QUERIES_PER_BLOCK = 16_384
 _CANDIDATE = "q_key string, distance double, p_key string, p_label string"
 
 
@@ -95,6 +97,19 @@ def _leaves_within(boxes: dict[int, tuple[list[float], list[float]]]):
     return within
 
 
+def _first(square: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least of each row, equal ones by column; NaN comes last."""
+    if square.shape[1] > k:
+        kth = np.partition(square, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero((square <= kth) | np.isnan(kth))
+    else:
+        row, column = (x.ravel() for x in np.indices(square.shape))
+    order = np.lexsort((column, square[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def _block_search(k: int):
     def search(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q_key": [], "distance": [], "p_key": [], "p_label": []}).astype(
@@ -104,6 +119,7 @@ def _block_search(k: int):
             return empty
         points = points.sort_values("p_key", kind="stable")
         wanted, known = np.stack(queries["q_x"].to_numpy()), np.stack(points["p_x"].to_numpy())
+        asked, bounds = queries["q_key"].to_numpy(), queries["bound"].to_numpy()
         keys, labels = points["p_key"].to_numpy(), points["p_label"].to_numpy()
         parts = []
         for start in range(0, len(wanted), 256):
@@ -112,18 +128,16 @@ def _block_search(k: int):
             for d in range(known.shape[1]):
                 gap = block[:, d, None] - known[None, :, d]
                 square += gap * gap
-            # Points are in key order, so a stable sort settles equal distances by key.
-            best = np.argsort(square, axis=1, kind="stable")[:, :k]
-            flat = best.ravel()
+            # Points are in key order, so equal distances are settled by key.
+            row, column = _first(square, k)
+            distance = np.sqrt(square[row, column])
+            near = ~(distance > bounds[start + row])
+            row, column = row[near], column[near]
             parts.append(
                 pd.DataFrame(
                     {
-                        "q_key": np.repeat(
-                            queries["q_key"].to_numpy()[start : start + 256], best.shape[1]
-                        ),
-                        "distance": np.sqrt(np.take_along_axis(square, best, axis=1)).ravel(),
-                        "p_key": keys[flat],
-                        "p_label": labels[flat],
+                        "q_key": asked[start + row], "distance": distance[near],
+                        "p_key": keys[column], "p_label": labels[column],
                     }
                 )
             )
@@ -144,13 +158,13 @@ def _sizes(df: DataFrame) -> dict[int, int]:
 
 
 def _search(queries: DataFrame, points: DataFrame, point_sizes: dict[int, int], k: int) -> DataFrame:
-    """The best k points of each query in every block of its leaf."""
+    """The best k points within the bound of each query in every block of its leaf."""
     query_sizes = _sizes(queries)
     size_map = {n: query_sizes.get(n, 0) for n in point_sizes}
     q_blocks = _blocks("leaf", size_map, QUERIES_PER_BLOCK)
     p_blocks = _blocks("leaf", point_sizes, POINTS_PER_BLOCK)
     asking = queries.select(
-        "leaf", "q_key", "q_x",
+        "leaf", "q_key", "q_x", "bound",
         F.pmod(F.xxhash64("q_key"), q_blocks).cast("int").alias("q_block"),
         F.explode(F.sequence(F.lit(0), p_blocks - 1)).alias("p_block"),
     )
@@ -164,11 +178,18 @@ def _search(queries: DataFrame, points: DataFrame, point_sizes: dict[int, int],
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
-    """k best candidates per query; a query has k candidates per visited block."""
+    """k best candidates per query; a query has at most k candidates per visited block."""
     order = Window.partitionBy("q_key").orderBy("distance", "p_key")
     return candidates.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written to the shared folder, for several passes, and its path."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def nearest(
     train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, k: int = 5
 ) -> DataFrame:
@@ -184,7 +205,7 @@ def nearest(
     # Of identical points only the first k can ever be among k neighbours.
     copies = Window.partitionBy("p_x").orderBy("p_key")
     points = named.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    points, path = _stored(points, "points")
     total = points.count()
     sample = (
         points.select("p_x", seeded_digest(42, "p_key").alias("d")).orderBy("d").limit(SAMPLE_ROWS)
@@ -192,7 +213,8 @@ def nearest(
     drawn = np.array([r["p_x"] for r in sample.collect()], dtype=float).reshape(-1, len(features))
     leaves = min(MAX_LEAVES, max(1, math.ceil(total / POINTS_PER_BLOCK)))
     leaf = _leaf_of(_split_tree(drawn, leaves))
-    placed = points.withColumn("leaf", leaf("p_x")).persist(StorageLevel.MEMORY_AND_DISK)
+    placed, _ = _stored(points.withColumn("leaf", leaf("p_x")), "placed")
+    delete_path(train.sparkSession, path)
     edges = placed.groupBy("leaf").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.min(F.col("p_x")[i]) for i in range(len(features))]).alias("low"),
@@ -201,18 +223,16 @@ def nearest(
     sizes = {r["leaf"]: r["n"] for r in edges}
     boxes = {r["leaf"]: (r["low"], r["high"]) for r in edges}
 
-    queries = (
-        test.select(F.col(key).cast("string").alias("q_key"), vector.alias("q_x"))
-        .withColumn("leaf", leaf("q_x"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    at_home = _best(_search(queries, placed, sizes, k), k).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = test.select(F.col(key).cast("string").alias("q_key"), vector.alias("q_x"))
+    queries, _ = _stored(asked.withColumn("leaf", leaf("q_x")), "queries")
+    unbounded = queries.withColumn("bound", F.lit(float("inf")))
+    at_home, _ = _stored(_best(_search(unbounded, placed, sizes, k), k), "at-home")
     bounds = at_home.groupBy("q_key").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
     bounded = queries.join(bounds, "q_key", "left").withColumn(
         "bound", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
     )
     visits = bounded.select(
-        "q_key", "q_x", F.explode(_leaves_within(boxes)("q_x", "leaf", "bound")).alias("leaf")
+        "q_key", "q_x", "bound", F.explode(_leaves_within(boxes)("q_x", "leaf", "bound")).alias("leaf")
     )
     elsewhere = _search(visits, placed, sizes, k)
     return _best(at_home.unionByName(elsewhere), k)

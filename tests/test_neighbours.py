@@ -62,3 +62,26 @@ def test_fewer_points_than_neighbours(spark):
     points, labels, queries, train, test = _data(spark, 3, 5, 1, False)
     predicted = {r["flow_id"]: r["prediction"] for r in neighbours.knn_classify(train, test, ["a", "b", "c"]).collect()}
     assert predicted == _brute(points, labels, queries, 5)[1]
+
+
+def test_blocks_send_nothing_beyond_the_bound_and_nothing_stays_cached(spark):
+    points, _, queries, train, test = _data(spark, 60, 6, 3, False)
+    cached = set(spark.sparkContext._jsc.getPersistentRDDs())
+    neighbours.nearest(train, test, ["a", "b", "c"], "label", "flow_id", 5).collect()
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
+    known = train.selectExpr("flow_id as p_key", "label as p_label", "array(a, b, c) as p_x").toPandas()
+    asked = test.selectExpr("flow_id as q_key", "array(a, b, c) as q_x").toPandas()
+    asked["bound"] = 0.5
+    found = neighbours._block_search(5)(asked, known)
+    within = np.sqrt(((queries[:, None] - points[None]) ** 2).sum(axis=2)) <= 0.5
+    assert found["distance"].max() <= 0.5
+    assert dict(found.groupby("q_key").size()) == {f"q{i:05d}": min(5, n) for i, n in enumerate(within.sum(axis=1)) if n}
+
+
+def test_first_of_a_row_settles_ties_by_column_and_puts_nan_last():
+    square = np.array([[2.0, 1.0, 1.0, 1.0], [np.nan, 3.0, np.nan, np.nan], [0.0, 0.0, 0.0, 5.0]])
+    for k in (1, 2, 3, 4, 5):
+        row, column = neighbours._first(square, k)
+        best = np.argsort(square, axis=1, kind="stable")[:, :k]
+        assert column.tolist() == best.ravel().tolist()
+        assert row.tolist() == np.repeat(np.arange(3), best.shape[1]).tolist()
