@@ -65,15 +65,14 @@ def protocol_text_summary(protocol: Column | str) -> Column:
 
 
 def attack_category(label: Column | str = "label") -> Column:
-    """Category of a detailed attack label, ``Unknown`` when it is not listed."""
+    """Category of a detailed attack label, ``Unknown`` when it is not listed.
+
+    One lookup that names the label once: a branch for each category would repeat it, and whatever
+    it is made of, in every filter on the category.
+    """
     col = F.col(label) if isinstance(label, str) else label
-    expr = F
-    by_category: dict[str, list[str]] = {}
-    for name, category in ATTACK_CATEGORIES.items():
-        by_category.setdefault(category, []).append(name)
-    for category, names in by_category.items():
-        expr = expr.when(col.isin(*names), F.lit(category))
-    return expr.otherwise(F.lit(UNKNOWN_CATEGORY))
+    known = F.create_map(*[F.lit(text) for pair in ATTACK_CATEGORIES.items() for text in pair])
+    return F.coalesce(F.try_element_at(known, col), F.lit(UNKNOWN_CATEGORY))
 
 
 def is_attack(label: Column | str = "label") -> Column:

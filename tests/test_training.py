@@ -137,6 +137,16 @@ def test_raw_capture_to_training_rows(spark):
     assert "flow_duration" in features and not {"src_ip", "label", "protocol"} & set(features)
 
 
+def test_a_filter_on_the_category_computes_the_label_once(spark):
+    labels = ["DoS Hulk", "Other", None, "", "Bot"]
+    text = spark.createDataFrame([(x,) for x in labels], "t string").select(F.reverse(F.reverse("t")).alias("label"))
+    named = clean.add_attack_category(text)
+    assert [r["class_label"] for r in named.collect()] == ["DoS", "Unknown", "Unknown", "Unknown", "Bot"]
+    plan = clean.drop_unknown(named).select("class_label")._jdf.queryExecution().optimizedPlan()
+    condition = next(line for line in plan.toString().splitlines() if "Filter" in line)
+    assert condition.count("reverse(reverse(") == 1
+
+
 def test_label_codes_and_back(make_flows):
     flows = make_flows({"label": "PortScan"}, {"label": "BENIGN"}, {"label": "DoS"}, {"label": None})
     found = {r["label"]: r["label_code"] for r in rows(clean.encode_label(flows))}
