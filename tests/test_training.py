@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import statistics
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,6 +332,19 @@ def test_more_classes_and_saved_models(spark, labelled, tmp_path, monkeypatch):
     assert classifiers.predict(again, test, ["flow_id"]).count() == test.count()
 
 
+def test_models_are_fitted_side_by_side_and_stay_in_order(two_class, monkeypatch):
+    train, test = two_class.where("split = 'train'"), two_class.where("split = 'test'")
+    fit, both = classifiers.fit_model, threading.Barrier(2, timeout=60)
+
+    def meeting(*args):
+        both.wait()  # fails unless the other fit has begun too
+        return fit(*args)
+
+    monkeypatch.setattr(classifiers, "fit_model", meeting)
+    names = ["Naive Bayes", "Decision Tree"]
+    assert [r["model"] for r in rows(classifiers.compare_models(train, test, names))] == names
+
+
 def test_scaler_inside_the_pipeline_uses_the_population_deviation(two_class):
     train = two_class.where("split = 'train'")
     model = classifiers.fit_model(train, "Logistic Regression")
