@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowrill.llm.frames import fresh
+from flowrill.llm.frames import fresh, kept
 from flowrill.llm.words import word_spans, words
 from flowrill.session import shared_dir
 
@@ -112,15 +112,9 @@ class WindowAutomaton:
         return [(a, b) for a, b in ranges], items
 
 
-_AUTOMATA: dict[str, WindowAutomaton] = {}
-
-
 def automaton(key: str, shared, window: int) -> WindowAutomaton:
-    """The automaton of a broadcast block, built once per worker process."""
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = WindowAutomaton(shared.value, window)
-    return _AUTOMATA[key]
+    """The automaton of a broadcast block, kept in a worker process from task to task."""
+    return kept(f"automaton {key}", lambda: WindowAutomaton(shared.value, window))
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -35,14 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowrill.llm.dart_minhash import DartMinHash, mix
-from flowrill.llm.frames import discard, fresh, stored
+from flowrill.llm.frames import discard, fresh, kept, stored
 from flowrill.llm.words import words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 FIRST_PIVOTS, MORE_PIVOTS = 8, 8
 OUTLINE_BITS = 2048
-BLOCK_SHINGLES = 150_000
+BLOCK_SHINGLES = 60_000
+KEPT_WORDS = 100_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.arange(1, 65, dtype=np.uint64) * _GOLDEN
 _SKETCH = (
@@ -55,19 +56,17 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept for the next texts."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         self[word] = number = xxhash.xxh3_64_intdigest(word)
         return number
 
 
-_HASHES = _WordHashes()
-
-
 def shingle_counts(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles as 64-bit hashes, and how often each occurs."""
     found = words(text)
-    hashes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    known = kept("word hashes", _WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     if not hashes.size:
         return hashes, np.zeros(0, np.int64)
     size = min(size, hashes.size)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowrill.llm.frames import kept
 from flowrill.llm.seekable import FrameCache, SeekableWriter, new_file
 
 _HEAD = "<IB"
@@ -193,14 +194,9 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per tokenizer file in a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a tokenizer file, kept in a worker process from task to task."""
+    return kept(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
