@@ -112,15 +112,18 @@ def _state(
     shard: str, lang: str, text: np.ndarray, words: list[bytes], at: np.ndarray, n: np.ndarray, m: int, parts: int
 ) -> pa.Table:
     """A shard's text, words (the first is that of 0) and n-grams of m words, which are at ``at`` and
-    occur n times; and for each range of hashes a row with their hashes and counts."""
+    occur n times; and for each range of hashes a row with their hashes and counts. The places are kept
+    in the order of the text, where gaps take little room; that of the hashes is found again from them."""
+    by_place = np.argsort(at)
+    at, n = at[by_place], n[by_place]
     hashes, checks = phrase_hashes(text, at, m, words, lang)
+    order = np.argsort(hashes, kind="stable")
+    hashes, checks, n = hashes[order], checks[order], n[order].astype(np.int64)
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((hashes, part))
-    hashes, checks, part, n = hashes[order], checks[order], part[order], n[order].astype(np.int64)
     own = {
         "shard": [shard], "lang": [lang], "size": [int(np.count_nonzero(text))], "text": [_pack(text.astype("<i4"))],
         "words": [zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[1:]))],
-        "at": [_pack(at[order].astype("<i4"))],
+        "at": [_pack(np.diff(at, prepend=0).astype("<i4"))],
     }
     cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     ranges = [slice(low, high) for low, high in zip(cuts, [*cuts[1:], len(part)])]
@@ -138,7 +141,12 @@ def shards(docs: DataFrame, parts: int) -> DataFrame:
 
     def finished(name: str, lang: str, shard: _Shard) -> Iterator[pa.RecordBatch]:
         text = np.frombuffer(shard.tokens, np.int32)
-        words = [b"", *list(shard.numbers)[1:]]
+        names = list(shard.numbers)
+        # Frequent words get small numbers, whose high bytes are mostly 0 and take little room.
+        by_count = 1 + np.argsort(-np.bincount(text, minlength=len(names))[1:], kind="stable")
+        numbers = np.zeros(len(names), np.int32)
+        numbers[by_count] = np.arange(1, len(names))
+        text, words = numbers[text], [b"", *[names[i] for i in by_count.tolist()]]
         at = np.zeros(len(words), np.int64)
         at[text[::-1]] = np.arange(len(text) - 1, -1, -1)  # the first place is written last
         n = np.bincount(text, minlength=len(words))
@@ -267,8 +275,9 @@ def stepped(states: DataFrame, answers: DataFrame, m: int, parts: int, last: boo
         if not own.num_rows or not answer.num_rows:
             return _SCHEMA.empty_table()
         shard, lang = own["shard"][0].as_py(), own["lang"][0].as_py()
-        text, at = _unpack(own["text"][0].as_py(), "<i4"), _unpack(own["at"][0].as_py(), "<i4").astype(np.int64)
+        text, at = _unpack(own["text"][0].as_py(), "<i4"), np.cumsum(_unpack(own["at"][0].as_py(), "<i4"), dtype=np.int64)
         words = [b"", *zstandard.ZstdDecompressor().decompress(own["words"][0].as_py()).split(b"\n")]
+        at = at[np.argsort(phrase_hashes(text, at, m, words, lang)[0], kind="stable")]  # as they were sent
         answer = answer.sort_by("part")
 
         def flags(column: str) -> np.ndarray:
@@ -298,18 +307,27 @@ def stepped(states: DataFrame, answers: DataFrame, m: int, parts: int, last: boo
 def frequent_phrases(docs: DataFrame, longest: int = 5, min_count: int = 100) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, length, a`` of all phrases of 1 to ``longest`` words that occur ``min_count``
     times; and ``lang, n``, the words of each language. Both are stored."""
+
+    def held(rows: DataFrame) -> tuple[DataFrame, str]:
+        """A level; its phrases, texts and what was sent are in folders of their own."""
+        kind = F.when(F.col("part").isNotNull(), "sent").when(F.col("text").isNotNull(), "text").otherwise("found")
+        return stored(rows.withColumn("kind", kind), "phrase-level", by="kind")
+
     tables = []
     parts = 1 + docs.rdd.getNumPartitions() // PARTITIONS_PER_PART
-    level, path = stored(shards(docs, parts), "phrase-level")
-    sizes, _ = stored(level.groupBy("lang").agg(F.sum("size").alias("n")).where("lang is not null"), "lang-words")
+    level, path = held(shards(docs, parts))
+    sizes, _ = stored(level.where("kind = 'text'").groupBy("lang").agg(F.sum("size").alias("n")), "lang-words")
     for m in range(1, longest + 1):
-        states = level.where("text is not null").select("shard", "lang", "text", "words", "at")
-        sent = level.where("part is not null").select("shard", "part", "hashes", "checks", "counts")
+        states = level.where("kind = 'text'").select("shard", "lang", "text", "words", "at")
+        sent = level.where("kind = 'sent'").select("shard", "part", "hashes", "checks", "counts")
         # No more n-grams of the next length than words in the texts.
-        parts = -(-(level.agg(F.sum("size")).first()[0] or 1) // PART_HASHES)
-        before, (level, path) = path, stored(stepped(states, told(sent, min_count), m, parts, m == longest), "phrase-level")
-        discard(before)
-        found = level.where("phrase is not null").select("lang", "phrase", "a", F.lit(m).alias("length"))
+        parts = -(-(level.where("kind = 'text'").agg(F.sum("size")).first()[0] or 1) // PART_HASHES)
+        # What was sent is summed up first: it and its shuffle have gone when the texts are shuffled.
+        answers, answers_path = stored(told(sent, min_count), "phrase-answers")
+        discard(f"{path}/kind=sent")
+        before, (level, path) = path, held(stepped(states, answers, m, parts, m == longest))
+        discard(before, answers_path)
+        found = level.where("kind = 'found'").select("lang", "phrase", "a", F.lit(m).alias("length"))
         tables.append(stored(found, "phrases")[0])
     discard(path)
     return reduce(DataFrame.unionByName, tables), sizes

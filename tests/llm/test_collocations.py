@@ -10,6 +10,7 @@ import pytest
 
 from flowrill.llm import collocations as module
 from flowrill.llm.collocations import FmIndex, collocations, grow_left, shrunk
+from flowrill.llm.frames import discard
 from flowrill.llm.queries import QUERIES
 from flowrill.llm.words import LOWER, UPPER
 
@@ -117,3 +118,23 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = duckdb.sql(f"select lang, text from '{sf_dir}/documents.parquet'").fetchall()
     got = QUERIES["op13_collocations"](spark, sf_dir).collect()
     assert Counter((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == brute(rows)
+
+
+def test_places_take_little_room_and_what_was_sent_goes_before_texts_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = np.concatenate([[0], rng.integers(1, 4000, 50_000), [0]]).astype(np.int32)
+    words = [b"", *(b"w%d" % i for i in range(1, 4000))]
+    at = rng.permutation(np.arange(1, 50_000))  # in no order, as n-grams come
+    state = module._state("0-0", "en", text, words, at, np.ones(len(at), np.int64), 2, 3)
+    own = state.slice(0, 1)
+    assert len(own["at"][0].as_py()) < len(at) // 4  # as places in the order of hashes: 2 bytes each
+    places = np.cumsum(module._unpack(own["at"][0].as_py(), "<i4"), dtype=np.int64)
+    hashes = module.phrase_hashes(text, places, 2, words, "en")[0]
+    sent = np.concatenate([np.cumsum(module._unpack(h.as_py(), "<u8"), dtype=np.uint64) for h in state["hashes"][1:]])
+    assert (np.sort(hashes) == sent).all()
+
+    gone = []
+    monkeypatch.setattr(module, "discard", lambda *paths: (gone.extend(paths), discard(*paths)))
+    docs = spark.createDataFrame(sentences(1, 50, ["new", "york", "the", "of"]), "lang string, text string")
+    module.frequent_phrases(docs, 3, 5)
+    assert [p.rsplit("/", 1)[1] for p in gone if "kind=" in p] == ["kind=sent"] * 3
