@@ -1447,7 +1447,9 @@ def _(flows, spark, sf_dir):
 
 @query("score_flows")
 def _(flows, spark, sf_dir):
-    rows = _training_set(flows)
+    """The flows are made once: what training and scoring need of them is one stored table."""
+    flows = training.stored_flows(spark, flows.select("flow_id", "protocol", *MODEL_FEATURES, "label"))
+    rows = training.stored_training_rows(spark, flows, ["BENIGN", "DoS"], from_table=True)
     fitted = classifiers.fit_model(rows.where("split = 'train'"), "Logistic Regression")
     path = shared_dir(spark, "model")
     save_model(fitted, path)

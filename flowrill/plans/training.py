@@ -50,22 +50,35 @@ def training_rows(
     return encode_label(split, label, "label_code", classes=classes).drop(label)
 
 
+def stored_flows(spark: SparkSession, flows: DataFrame) -> DataFrame:
+    """The flows as a table, written here, so that what makes them runs once for several readers."""
+    path = shared_dir(spark, "flows")
+    flows.write.parquet(path, compression="zstd")
+    return spark.read.schema(flows.schema).parquet(path)
+
+
 def stored_training_rows(
-    spark: SparkSession, flows: DataFrame, classes: list[str], label: str = "label", task_rows: int = TASK_ROWS
+    spark: SparkSession, flows: DataFrame, classes: list[str], label: str = "label", task_rows: int = TASK_ROWS,
+    from_table: bool = False,
 ) -> DataFrame:
     """:func:`training_rows` from a table, written here, in partitions for the many passes of a fit.
 
     What training needs of the usable flows is written first: the passes that find the cutoffs read
-    that, and what makes the flows runs once. Every pass of a fit has a task per partition, whose
-    results go to the driver; there are no more of them than cores, or than ``task_rows`` asks for.
+    that, and what makes the flows runs once. With ``from_table`` the flows are a table's and are read
+    from there instead. Every pass of a fit has a task per partition, whose results go to the driver;
+    there are no more of them than cores, or than ``task_rows`` asks for.
     """
-    usable = drop_non_finite_rates(flows).where(F.col(label).isin(*classes))
-    base = shared_dir(spark, "usable")
-    features = select_model_features(usable, keep=["flow_id", label])
-    features.write.parquet(base)
+    base = None
+    if not from_table:
+        usable = drop_non_finite_rates(flows).where(F.col(label).isin(*classes))
+        base = shared_dir(spark, "usable")
+        features = select_model_features(usable, keep=["flow_id", label])
+        features.write.parquet(base, compression="zstd")
+        flows = spark.read.parquet(base)
     path = shared_dir(spark, "training")
-    training_rows(spark.read.parquet(base), classes, label).write.parquet(path)
-    delete_path(spark, base)
+    training_rows(flows, classes, label).write.parquet(path, compression="zstd")
+    if base:
+        delete_path(spark, base)
     return in_tasks(spark.read.parquet(path), task_rows)
 
 

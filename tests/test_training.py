@@ -398,3 +398,22 @@ def test_tasks_of_a_fit_grow_with_the_rows_only(spark, tmp_path):
     assert training.in_tasks(rows).rdd.getNumPartitions() <= cores
     assert training.in_tasks(rows, 5).rdd.getNumPartitions() <= max(cores, 20)
     assert training.in_tasks(rows, 5).count() == 100
+
+
+def test_score_flows_makes_the_flows_once(spark, make_flows, monkeypatch):
+    from flowrill.plans import catalog
+
+    made = spark.sparkContext.accumulator(0)
+    changed = [{"label": "DoS" if i % 3 else "BENIGN", "flow_duration": float(i)} for i in range(60)]
+    flows = make_flows(*changed, {"protocol": 0}, {"flow_bytes_s": INF})
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    counted = flows.mapInArrow(count, flows.schema)
+    monkeypatch.setattr(catalog, "flows_from_tables", lambda *_: counted)
+    scored = rows(catalog.QUERIES["score_flows"](spark, ""))
+    assert sorted(r["flow_id"] for r in scored) == [f"f{i:04d}" for i in range(60)]
+    assert made.value == 62
