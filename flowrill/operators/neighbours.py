@@ -28,6 +28,8 @@ MAX_LEAVES = 1024
 POINTS_PER_BLOCK = 4096
 # The points of a leaf are sent once for each block of the queries that visit it.
 QUERIES_PER_BLOCK = 16_384
+# Groups of a block's points whose minima bound the k-th distance.
+POINT_GROUPS = 64
 _CANDIDATE = "q_key string, distance double, p_key string, p_label string"
 
 
@@ -110,6 +112,50 @@ def _first(square: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], column[place < k]
 
 
+def _candidates(wanted: np.ndarray, limits: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and point of all pairs that may be among the k nearest and within a squared limit.
+
+    One product gives all squared distances up to a rounding error whose bound is allowed for. The k-th
+    least of the minima of disjoint groups of points is no less than the k-th distance. NaN is kept.
+    """
+    centre = known.mean(axis=0)
+    centre = np.where(np.isfinite(centre), centre, 0.0)
+    asked, points = wanted - centre, known - centre
+    far, lengths = (asked * asked).sum(axis=1), (points * points).sum(axis=1)
+    square = asked @ (-2 * points.T)
+    square += lengths
+    square += far[:, None]
+    error = 1e-12 * (far + lengths.max(initial=0.0, where=np.isfinite(lengths)))
+    width = len(known) // POINT_GROUPS
+    if width > 1 and k <= POINT_GROUPS:
+        least = square[:, : width * POINT_GROUPS].reshape(len(square), POINT_GROUPS, width).min(axis=2)
+        limits = np.fmin(limits, np.partition(least, k - 1, axis=1)[:, k - 1] + error)
+    return np.nonzero(~(square > (limits + error)[:, None]))
+
+
+def _nearest_rows(
+    wanted: np.ndarray, bounds: np.ndarray, known: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, point and squared distance of the k nearest points of each query, equal ones by number.
+
+    Distances are computed by differences, for the candidates only; points beyond the bound may be left out.
+    """
+    parts = []
+    for start in range(0, len(wanted), 128):
+        block = wanted[start : start + 128]
+        # A hair of slack, so that rounding never hides a point.
+        row, column = _candidates(block, bounds[start : start + 128] ** 2 * (1 + 1e-9), known, k)
+        square = np.zeros(len(row))
+        for d in range(known.shape[1]):
+            gap = block[row, d] - known[column, d]
+            square += gap * gap
+        order = np.lexsort((column, square, row))
+        row, column, square = row[order], column[order], square[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        parts.append((start + row[first], column[first], square[first]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _block_search(k: int):
     def search(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q_key": [], "distance": [], "p_key": [], "p_label": []}).astype(
@@ -117,31 +163,18 @@ def _block_search(k: int):
         )
         if not len(queries) or not len(points):
             return empty
+        # Points are in key order, so equal distances are settled by key.
         points = points.sort_values("p_key", kind="stable")
         wanted, known = np.stack(queries["q_x"].to_numpy()), np.stack(points["p_x"].to_numpy())
         asked, bounds = queries["q_key"].to_numpy(), queries["bound"].to_numpy()
         keys, labels = points["p_key"].to_numpy(), points["p_label"].to_numpy()
-        parts = []
-        for start in range(0, len(wanted), 256):
-            block = wanted[start : start + 256]
-            square = np.zeros((len(block), len(known)))
-            for d in range(known.shape[1]):
-                gap = block[:, d, None] - known[None, :, d]
-                square += gap * gap
-            # Points are in key order, so equal distances are settled by key.
-            row, column = _first(square, k)
-            distance = np.sqrt(square[row, column])
-            near = ~(distance > bounds[start + row])
-            row, column = row[near], column[near]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "q_key": asked[start + row], "distance": distance[near],
-                        "p_key": keys[column], "p_label": labels[column],
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+        row, column, square = _nearest_rows(wanted, bounds, known, k)
+        distance = np.sqrt(square)
+        near = ~(distance > bounds[row])
+        row, column = row[near], column[near]
+        return pd.DataFrame(
+            {"q_key": asked[row], "distance": distance[near], "p_key": keys[column], "p_label": labels[column]}
+        )
 
     return search
 

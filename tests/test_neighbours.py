@@ -85,3 +85,22 @@ def test_first_of_a_row_settles_ties_by_column_and_puts_nan_last():
         best = np.argsort(square, axis=1, kind="stable")[:, :k]
         assert column.tolist() == best.ravel().tolist()
         assert row.tolist() == np.repeat(np.arange(3), best.shape[1]).tolist()
+
+
+def test_candidates_hold_the_nearest_and_few_others():
+    rng = np.random.default_rng(5)
+    for known in (rng.normal(size=(1000, 4)) + 1e4, rng.integers(0, 3, (1000, 4)).astype(float)):
+        asked, bounds = known[:200] + 0.01, np.full(200, np.inf)
+        bounds[::2] = 0.5
+        known[3] = np.nan
+        square = np.zeros((200, 1000))
+        for d in range(4):
+            square += (asked[:, d, None] - known[:, d]) ** 2
+        row, column, found = neighbours._nearest_rows(asked, bounds, known, 5)
+        for i in range(200):
+            best = [j for j in np.argsort(square[i], kind="stable")[:5] if not np.sqrt(square[i, j]) > bounds[i]]
+            ours = [j for j in column[row == i] if not np.sqrt(square[i, j]) > bounds[i] and j != 3]
+            assert ours == [j for j in best if j != 3]
+        assert np.array_equal(found, square[row, column], equal_nan=True)
+    row, _ = neighbours._candidates(rng.normal(size=(50, 4)), np.full(50, np.inf), rng.normal(size=(4096, 4)), 5)
+    assert len(row) < 50 * 100  # of 4,096 points each
