@@ -83,18 +83,63 @@ def _sums(keys: np.ndarray, values: np.ndarray, n_bins: int) -> np.ndarray:
 _HISTOGRAM = "k int, node int, feature int, bin int, g double, h double"
 
 
+class _Histogram:
+    """Sums of slopes and curvatures by tree, open node, feature and bin."""
+
+    def __init__(self, trees: list[Tree], fringe: list[set[int]], n_features: int, n_bins: int):
+        self.n_features, self.n_bins, self.shapes = n_features, n_bins, []
+        for tree, nodes in zip(trees, fringe):
+            place = np.full(len(tree), -1)
+            place[sorted(nodes)] = np.arange(len(nodes))
+            self.shapes.append((_arrays(tree), place, sorted(nodes)))
+        self.totals = [np.zeros((3, len(nodes) * n_features * n_bins)) for *_, nodes in self.shapes]
+
+    def add(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        """Rows by their bins (rows x features), slopes and curvatures (rows x trees)."""
+        cells = self.n_features * self.n_bins
+        for k, (arrays, place, nodes) in enumerate(self.shapes):
+            if not nodes:
+                continue
+            at = place[_node_of(arrays, bins)]
+            own = np.flatnonzero(at >= 0)
+            base, total = at[own] * cells, self.totals[k]
+            weights = g[own, k], h[own, k]
+            for f in range(self.n_features):
+                cell = base + f * self.n_bins + bins[own, f]
+                for i, values in enumerate((None, *weights)):
+                    total[i] += np.bincount(cell, values, total.shape[1])
+
+    def batches(self):
+        """Rows of ``_HISTOGRAM``, for cells that hold rows."""
+        cells, n_bins = self.n_features * self.n_bins, self.n_bins
+        for k, (*_, nodes) in enumerate(self.shapes):
+            met = np.flatnonzero(self.totals[k][0])
+            columns = [np.full(len(met), k), np.array(nodes, int)[met // cells], met % cells // n_bins, met % n_bins]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int32()) for c in columns), *(pa.array(t[met]) for t in self.totals[k][1:])],
+                ["k", "node", "feature", "bin", "g", "h"],
+            )
+
+
+def _arrays(tree: Tree) -> list[np.ndarray]:
+    return [np.array([getattr(n, name) for n in tree]) for name in ("feature", "cut", "left", "right")]
+
+
+def _node_of(arrays: list[np.ndarray], bins: np.ndarray) -> np.ndarray:
+    """The node each row is in."""
+    feature, cut, left, right = arrays
+    at, row = np.zeros(len(bins), int), np.arange(len(bins))
+    while (feature[at] >= 0).any():
+        below = bins[row, np.maximum(feature[at], 0)] <= cut[at]
+        at = np.where(feature[at] >= 0, np.where(below, left[at], right[at]), at)
+    return at
+
+
 def _histograms(trees: list[Tree], fringe: list[set[int]], n_features: int, n_bins: int):
     """For mapInArrow over ``bins, g, h``: a task's sums by tree, open node, feature and bin."""
-    shapes = []
-    for tree, nodes in zip(trees, fringe):
-        inner = [np.array([getattr(n, name) for n in tree]) for name in ("feature", "cut", "left", "right")]
-        place = np.full(len(tree), -1)
-        place[sorted(nodes)] = np.arange(len(nodes))
-        shapes.append((inner, place, sorted(nodes)))
 
     def sums(batches):
-        cells = n_features * n_bins
-        totals = [np.zeros((3, len(nodes) * cells)) for *_, nodes in shapes]
+        found = _Histogram(trees, fringe, n_features, n_bins)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -103,24 +148,100 @@ def _histograms(trees: list[Tree], fringe: list[set[int]], n_features: int, n_bi
                 pc.fill_null(batch.column(name).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 for name in ("g", "h")
             )
-            row = np.arange(batch.num_rows)
-            for k, ((feature, cut, left, right), place, _) in enumerate(shapes):
-                at = np.zeros(batch.num_rows, int)
-                while (feature[at] >= 0).any():
-                    below = bins[row, np.maximum(feature[at], 0)] <= cut[at]
-                    at = np.where(feature[at] >= 0, np.where(below, left[at], right[at]), at)
-                own = np.flatnonzero(place[at] >= 0)
-                cell = (place[at[own]] * cells)[:, None] + np.arange(n_features) * n_bins + bins[own]
-                for i, values in enumerate((None, g[own, k], h[own, k])):
-                    weights = None if values is None else np.repeat(values, n_features)
-                    totals[k][i] += np.bincount(cell.ravel(), weights, totals[k].shape[1])
-        for k, (*_, nodes) in enumerate(shapes):
-            met = np.flatnonzero(totals[k][0])
-            columns = [np.full(len(met), k), np.array(nodes, int)[met // cells], met % cells // n_bins, met % n_bins]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int32()) for c in columns), *(pa.array(t[met]) for t in totals[k][1:])],
-                ["k", "node", "feature", "bin", "g", "h"],
-            )
+            found.add(bins, g, h)
+        yield from found.batches()
+
+    return sums
+
+
+# Rows are stored in blocks of few rows, whose readers hold thousands of them: the bins, the classes
+# and the margins as bytes. An Arrow column of such blocks is one array of all their rows.
+_BLOCK_ROWS = 128
+_ROWS_AT_ONCE = 1 << 16
+_UNKNOWN = -(2**31)  # in place of a null class
+_BLOCKS = "bins binary, label binary, margin binary"
+
+
+def _bin_type(n_bins: int) -> np.dtype:
+    return np.min_scalar_type(max(n_bins - 1, 0))
+
+
+def _blocks(n_features: int, n_bins: int, outputs: int):
+    """For mapInArrow over ``label, bins``: blocks of rows with margins of 0."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, n_features)
+                label = pc.fill_null(batch.column("label"), _UNKNOWN).to_numpy(zero_copy_only=False)
+                yield _packed(bins.astype(_bin_type(n_bins)), label.astype(np.int32), np.zeros((len(label), outputs)))
+
+    return pack
+
+
+def _packed(bins: np.ndarray, label: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    bounds = np.append(np.arange(0, len(label), _BLOCK_ROWS), len(label))
+
+    def column(values: np.ndarray) -> pa.Array:
+        offsets = (bounds * (values.nbytes // len(label))).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+    return pa.RecordBatch.from_arrays([column(x) for x in (bins, label, margin)], ["bins", "label", "margin"])
+
+
+def _unpacked(batches, n_features: int, n_bins: int):
+    """(bins, classes, margins) of the rows in blocks, some at a time."""
+
+    def values(column: pa.Array, kind) -> np.ndarray:
+        _, offsets, data = column.buffers()
+        places = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+        first, last = places[column.offset], places[column.offset + len(column)]
+        return np.frombuffer(data, np.uint8)[first:last].view(kind)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        label = values(batch.column("label"), np.int32)
+        bins = values(batch.column("bins"), _bin_type(n_bins)).reshape(len(label), n_features)
+        margin = values(batch.column("margin"), float).reshape(len(label), -1)
+        for at in range(0, len(label), _ROWS_AT_ONCE):
+            rows = slice(at, at + _ROWS_AT_ONCE)
+            yield bins[rows], label[rows], margin[rows]
+
+
+def _raised_margins(trees: list[Tree], n_features: int, n_bins: int, rate: float):
+    """For mapInArrow over blocks: the blocks with a round's trees added to the margins."""
+
+    def raise_(batches):
+        shapes = [(_arrays(t), np.array([n.value for n in t])) for t in trees]
+        for bins, label, margin in _unpacked(batches, n_features, n_bins):
+            grown = [margin[:, k] + (0.0 + rate * value[_node_of(arrays, bins)]) for k, (arrays, value) in enumerate(shapes)]
+            yield _packed(bins, label, np.stack(grown, axis=1))
+
+    return raise_
+
+
+def _slopes(label: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the logistic loss by each margin; an unknown class has no slope."""
+    if margin.shape[1] == 1:
+        share, wanted = 1 / (1 + np.exp(-margin)), label[:, None]
+    else:
+        raised = np.exp(margin - margin.max(axis=1, keepdims=True))
+        share = raised / raised.sum(axis=1, keepdims=True)
+        wanted = label[:, None] == np.arange(margin.shape[1])
+    return np.where(label[:, None] == _UNKNOWN, 0.0, share - wanted), share * (1 - share)
+
+
+def _block_histograms(trees: list[Tree], fringe: list[set[int]], n_features: int, n_bins: int):
+    """:func:`_histograms` over blocks."""
+
+    def sums(batches):
+        found = _Histogram(trees, fringe, n_features, n_bins)
+        for bins, label, margin in _unpacked(batches, n_features, n_bins):
+            with np.errstate(over="ignore"):
+                found.add(bins, *_slopes(label, margin))
+        yield from found.batches()
 
     return sums
 
@@ -158,22 +279,6 @@ class BoostedTrees:
         return cls(**found, rounds=rounds)
 
 
-def _with_slopes(table: DataFrame, n_classes: int) -> DataFrame:
-    """``g`` and ``h``: slope and curvature of the logistic loss by each margin."""
-    if n_classes == 2:
-        shares, wanted = F.array(1 / (1 + F.exp(-F.col("margin")[0]))), F.array(F.col("label"))
-    else:
-        raised = F.transform("margin", lambda m: F.exp(m - F.array_max("margin")))
-        table = table.withColumn("raised", raised)
-        total = F.aggregate("raised", F.lit(0.0), lambda a, e: a + e)
-        shares = F.transform("raised", lambda e: e / total)
-        wanted = F.array(*[(F.col("label") == k).cast("int") for k in range(n_classes)])
-    return table.withColumn("p", shares).select(
-        "label", "bins", "margin", F.zip_with("p", wanted, lambda p, y: p - y).alias("g"),
-        F.transform("p", lambda p: p * (1 - p)).alias("h"),
-    )
-
-
 def best_split(sums: np.ndarray, penalty: float, least: float):
     """``(gain, feature, cut, left sums, right sums)`` of slopes and curvatures by feature and bin."""
     upto = np.cumsum(sums, axis=1)
@@ -195,28 +300,28 @@ def fit_boosted(
     A leaf weighs -G / (H + ``penalty``) of its rows' slopes G and curvatures H, a split must leave
     ``least`` of H on either side. Classes are numbered from 0. All classes share one histogram a
     level. A round takes ``depth`` jobs and one that stores the rows' margins, so that plans stay small.
+    Rows are stored in blocks, a byte for each bin, which arrays are made of without a step per row.
     """
     spark = train.sparkSession
     edges = bin_edges(train, features, bins)
     model = BoostedTrees(features, edges, n_classes, rate)
     outputs = 1 if n_classes == 2 else n_classes
-    table = binned(train.withColumn("label", F.col(label).cast("int")), features, edges, "label")
-    table = table.withColumn("margin", F.array(*[F.lit(0.0)] * outputs))
+    rows = binned(train.withColumn("label", F.col(label).cast("int")), features, edges, "label")
+    table = rows.mapInArrow(_blocks(len(features), bins, outputs), _BLOCKS)
     path, trees = None, None
     for _ in range(rounds):
         old, path = path, shared_dir(spark, "margins")
         if trees is not None:
-            grown = F.array(*[F.col("margin")[k] + F.expr(model.margins([trees], k)) for k in range(outputs)])
-            table = table.withColumn("margin", grown)
-        _with_slopes(table, n_classes).write.parquet(path)
-        table = spark.read.parquet(path)
+            table = table.mapInArrow(_raised_margins(trees, len(features), bins, rate), _BLOCKS)
+        table.write.parquet(path, compression="zstd")
+        table = spark.read.schema(_BLOCKS).parquet(path)
         if old is not None:
             delete_path(spark, old)
         trees = [[Node()] for _ in range(outputs)]
         fringe = [{0} for _ in range(outputs)]
         for _ in range(depth):
             found = (
-                table.select("bins", "g", "h").mapInArrow(_histograms(trees, fringe, len(features), bins), _HISTOGRAM)
+                table.mapInArrow(_block_histograms(trees, fringe, len(features), bins), _HISTOGRAM)
                 .groupBy("k", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             )  # at most outputs x nodes x features x bins rows
             keys = np.array([r[:4] for r in found], int).reshape(-1, 4)

@@ -155,3 +155,29 @@ def test_a_task_sums_a_level_of_all_trees_in_arrays():
     found = {tuple(r.values())[:4]: tuple(r.values())[4:] for out in sums(iter(parts)) for r in out.to_pylist()}
     assert found.keys() == wanted.keys()
     assert all(np.allclose(found[key], wanted[key]) for key in wanted)
+
+
+@pytest.mark.parametrize(("features", "n_bins"), [(3, 300), (10, 32)])
+def test_blocks_hold_rows_with_their_margins_and_give_the_same_sums(features, n_bins):
+    rng = np.random.default_rng(3)
+    n, outputs = 1000, 2
+    bins, label = rng.integers(0, n_bins, (n, features)), rng.integers(0, outputs, n).tolist()
+    label[5] = None
+    batch = pa.RecordBatch.from_pydict({"bins": pa.array(bins.tolist(), pa.list_(pa.int32())), "label": pa.array(label, pa.int32())})
+    blocks = list(boosting._blocks(features, n_bins, outputs)(iter([batch.slice(0, 0), batch])))
+    assert [b.num_rows for b in blocks] == [-(-n // boosting._BLOCK_ROWS)]  # no step per row later
+    split = [boosting.Node(0.0, 1, n_bins // 2, 1, 2), boosting.Node(0.5), boosting.Node(-0.25)]
+    trees = [split, [boosting.Node(0.125)]]
+    raised = list(boosting._raised_margins(trees, features, n_bins, 0.1)(iter(blocks)))
+    (found, classes, margin), = boosting._unpacked([raised[0]], features, n_bins)
+    assert np.array_equal(found, bins) and classes[5] == boosting._UNKNOWN
+    assert np.allclose(margin, np.stack([0.1 * np.where(bins[:, 1] <= n_bins // 2, 0.5, -0.25), np.full(n, 0.0125)], axis=1))
+    g, h = boosting._slopes(classes, margin)
+    assert not g[5].any() and h[5].all()
+    plain = pa.RecordBatch.from_pydict({
+        "bins": batch.column("bins"), "g": pa.array(g.tolist(), pa.list_(pa.float64())), "h": pa.array(h.tolist(), pa.list_(pa.float64())),
+    })
+    shown = lambda sums, rows: [r for out in sums(trees, [{1, 2}, {0}], features, n_bins)(iter(rows)) for r in out.to_pylist()]
+    ours, wanted = shown(boosting._block_histograms, [raised[0].slice(0, 3), raised[0].slice(3)]), shown(boosting._histograms, [plain])
+    assert [list(r.values())[:4] for r in ours] == [list(r.values())[:4] for r in wanted]
+    assert np.allclose([list(r.values())[4:] for r in ours], [list(r.values())[4:] for r in wanted])
