@@ -8,8 +8,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from flowrill.plans import catalog
 from flowrill.plans.day_states import STATES, merged, state_rows
 from flowrill.schema import CANONICAL_COLUMNS, short_name
+from flowrill.session import path_exists, shuffles_removed
 from flowrill.sources.day_store import write_analysed
 from flowrill.sources.tail import FORGOTTEN, CaptureTailReader, tail_captures
 from flowrill.streaming import live, refresh, score_job
@@ -439,3 +441,28 @@ def test_trend_of_many_batches_has_no_state(spark, make_flows, tmp_path):
     assert rows(live.read_trend(spark, out)) == rows(traffic_trend(flows.where("ts is not null")))
     live.fold_trend(spark, out)
     assert rows(live.read_trend(spark, out)) == rows(traffic_trend(flows.where("ts is not null")))
+
+
+def test_captures_are_scored_in_parts_that_are_removed(spark, make_flows, monkeypatch):
+    flows = make_flows(*[{}] * 40).withColumn("timestamp_raw", F.lit("15/01/2024 10:00:00 AM"))
+    seen, score = [], catalog._score_captures
+
+    def counted(session, base, scorer):
+        seen.append(session.read.option("header", "true").csv(f"{base}/captures").count())
+        score(session, base, scorer)
+
+    monkeypatch.setattr(catalog, "_score_captures", counted)
+    base = catalog._run_scoring(flows, spark, lambda rows: rows)
+    assert sum(seen) == 40 and max(seen) < 40
+    assert not path_exists(spark, f"{base}/captures")
+    found = spark.read.parquet(f"{base}/analysed").select("flow_id").collect()
+    assert sorted(r.flow_id for r in found) == [f"f{i:04d}" for i in range(40)]
+
+
+def test_shuffle_files_go_within_only(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with pytest.raises(ZeroDivisionError), shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(key, None) == before
