@@ -23,6 +23,13 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _own_caches(spark):
+    """What a module's fixtures cached goes at its end."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
